@@ -358,6 +358,11 @@ def _verify(percent: int) -> Callable[[pa.Table], pa.Table]:
     return verify
 
 
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """The rows once for each block of their cluster."""
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).withColumn("home", F.xxhash64("cluster", "block")).drop("block")
+
+
 def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row with an id, and (v, root): the component of each set that links with another."""
     spark = docs.sparkSession
@@ -383,7 +388,7 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
     tasks = max(parts, int((n_tokens or 0) // 2_000_000))
     placed = sets.join(cluster, F.col("sid") == F.col("v")).join(count, "root").select("sid", "tokens", F.col("root").alias("cluster"), "members", blocks.alias("blocks"))
     alone = F.col("members") <= cap
-    home = F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+    home = F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long"))))
     rows = placed.select("sid", "tokens", "cluster", "blocks", alone.alias("alone"), home.alias("home"), F.lit(True).alias("ask"), F.col("sid").alias("label"))
     columns = ["sid", "tokens", "cluster", "home", "ask", "label"]
     large = count.where(F.col("members") > cap)
@@ -393,15 +398,14 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
         degree = ties.groupBy("b").agg(F.count("*").alias("degree"))
         ranked = degree.join(cluster, F.col("b") == F.col("v")).join(large, "root").withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy(F.col("degree").desc(), "b")))
         hubs = ranked.where("k <= 4").select(F.col("b").alias("sid"))
-        everywhere = F.xxhash64("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        first = rows.unionByName(rows.join(hubs, "sid", "left_semi").withColumn("home", F.lit(0)).select("sid", "tokens", "cluster", "blocks", "alone", everywhere.alias("home"), "ask", "label"))
+        first = rows.unionByName(_everywhere(rows.join(hubs, "sid", "left_semi")))
     verified = cut(first.select(*columns).groupBy("home").applyInArrow(_verify(percent), kind), "links")
     roots = cut(components(verified), "roots")
     if any_large:  # sets outside of a large cluster's main component visit all of its blocks
         inside = rows.where(~F.col("alone")).select("sid", "cluster", "blocks", "home").join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid"))
         main = inside.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         marked = cut(inside.join(main, "cluster").select("sid", "cluster", "blocks", "home", F.col("root").alias("label"), (F.col("root") != F.col("main")).alias("left_over")), "marked")
-        guests = marked.where("left_over").select("sid", "cluster", F.xxhash64("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("home"), "label", F.lit(True).alias("ask"))
+        guests = _everywhere(marked.where("left_over")).select("sid", "cluster", "home", "label", F.lit(True).alias("ask"))
         hosts = marked.select("sid", "cluster", "home", "label", F.lit(False).alias("ask"))
         again = guests.unionByName(hosts).join(sets, "sid").select(*columns)
         more = again.groupBy("home").applyInArrow(_verify(percent), kind)
