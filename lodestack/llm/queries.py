@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, topk
+from . import decontam, line_dedup, mixing, ngram_join, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_topk_search, op7_ngram_jaccard, op8_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op5_topk_search, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
