@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, ngram_join, topk
+from . import decontam, html_main, license_scan, line_dedup, mixing, ngram_join, token_count, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
@@ -33,7 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_topk_search, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_topk_search, op6_html_main_text, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
