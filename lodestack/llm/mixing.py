@@ -63,7 +63,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: int) -> DataFra
         if not above:
             break
         full = full | (F.col("weight") * level > ceiling)
-        t = cut(t.withColumn("stopped", full), "sources") if "stopped" not in t.columns else cut(t.withColumn("stopped", full), "sources")
+        t = cut(t.withColumn("stopped", full), "sources")
         full = F.col("stopped")
     return t.select("source", "size", F.when(full, ceiling).otherwise(F.col("weight") * level).alias("target"))
 
@@ -117,22 +117,41 @@ def uniform(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(BINS**ROUNDS))
 
 
+def plan(sized: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame:
+    """(source, size, target, rate, cut_at) for rows (source, size, u)."""
+    rates = tilts(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, cap))
+    return thresholds(sized, cut(rates, "rates"))
+
+
+def _copies(cap: int) -> Column:
+    whole = F.floor(F.col("p.rate") + 1e-9)
+    return F.when(F.col("d.size") == 0, F.lit(0)).otherwise(F.least(F.lit(cap), whole + (F.col("d.u") < F.col("p.cut_at")).cast("long"))).cast("long")
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Of each document: doc_id, source, size, source_size, target, rate, copies (long).
 
-    The texts are read twice, once for each pass that needs them, and never shuffled; what is written in between has a row per
-    document without its text."""
+    The texts are read once and never shuffled; what is written in between has a row per document without its text."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), uniform(doc_id, text).alias("u"))
     sized = cut(base, "sizes")
-    rates = tilts(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, cap))
-    plan = thresholds(sized, cut(rates, "rates"))
-    whole = F.floor(F.col("p.rate") + 1e-9)
-    copies = F.when(F.col("d.size") == 0, F.lit(0)).otherwise(F.least(F.lit(cap), whole + (F.col("d.u") < F.col("p.cut_at")).cast("long")))
-    return sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.source", "d.u", "d.size", F.col("p.size").alias("source_size"), "p.target", "p.rate", copies.cast("long").alias("copies")
+    p = plan(sized, weights, cap)
+    return sized.alias("d").join(p.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
+        "d.doc_id", "d.source", "d.size", F.col("p.size").alias("source_size"), "p.target", "p.rate", _copies(cap).alias("copies")
     )
 
 
+def resample(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The documents as often as the mix takes them, columns unchanged and ``copy`` (from 1) behind them.
+
+    The table of sources has a row per source; Spark broadcasts it while it is small and else joins by source, splitting hot ones."""
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    d = docs.select(row, F.col("source").alias("source"), word_count("text").alias("size"), uniform("doc_id", "text").alias("u"))
+    p = plan(cut(d.select("source", "size", "u"), "sizes"), weights, cap)
+    taken = d.alias("d").join(p.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.row", _copies(cap).alias("n")).where("n > 0")
+    return taken.select(*[F.col(f"row.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+
+
 def digest(docs: DataFrame, **more: object) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document."""
     return mix(docs, **more).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
