@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, license_scan, line_dedup, mixing, ngram_join, token_count, topk, toxicity
+from . import decontam, html_main, license_scan, line_dedup, mixing, ngram_join, suffix_dedup, token_count, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_token_counts, op5_topk_search, op6_html_main_text, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_token_counts, op5_topk_search, op6_html_main_text, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
