@@ -38,16 +38,18 @@ def with_state(tools: DataFrame, enabled: DataFrame, cli: str | None = None, roo
     return joined.withColumn("state", F.when(F.col("_tool").isNotNull(), "enabled").otherwise("available")).drop("_tool")
 
 
-def suggest(tools: DataFrame, enabled: DataFrame, k: int, languages: list[str] | None = None, tool_type: str | None = None, max_risk: str | None = None, **scope: str) -> DataFrame:
-    """Tools for the given languages, enabled first, then by name. Tools of the languages 'any' or without one suit all."""
+def suggest(tools: DataFrame, enabled: DataFrame, k: int, languages: list[str] | None = None, category: str | None = None, tool_type: str | None = None, max_risk: str | None = None, cli: str | None = None, root: str | None = None) -> DataFrame:
+    """Tools of any of the given languages, of a category, a type and a risk at most; enabled first, then by name."""
     t = tools
     if languages:
-        t = t.where(F.arrays_overlap("languages", F.array(*[F.lit(x) for x in [*languages, "any", "*"]])) | (F.size("languages") == 0))
+        t = t.where(F.arrays_overlap("languages", F.array(*[F.lit(x) for x in languages])))
+    if category:
+        t = t.where(F.array_contains("category", category))
     if tool_type:
         t = t.where(F.col("type") == tool_type)
     if max_risk:
         t = t.where(risk_rank() <= RISK[max_risk])
-    out = with_state(t, enabled, **scope)
+    out = with_state(t, enabled, cli, root)
     return out.withColumn("grouping", F.when(F.col("state") == "enabled", "enabled").otherwise("recommended")).orderBy(F.col("state").desc(), "name").limit(k)
 
 
