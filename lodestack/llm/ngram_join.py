@@ -116,7 +116,7 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def shared(key: tuple, part: pa.Table) -> pa.Table:
         if key[0].as_py() >= ranges:  # sizes and set ids pass through
             k = pa.array([key[0].as_py() - ranges] * part.num_rows, pa.int64())
-            return pa.table({"home": k, "sizes": pa.array([True] * part.num_rows), "blob": part.column("blob").combine_chunks()})
+            return pa.table({"home": k, "sizes": pa.array([True] * part.num_rows, pa.bool_()), "blob": part.column("blob").combine_chunks()})
         tokens, rows, ids, base = [], [], [], 0
         for blob in part.column("blob").to_pylist():
             t, r, i = _small(blob)
@@ -138,7 +138,7 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
         home = _home(doc, buckets)
         keys = np.unique(home)
         blobs = [pack(np.diff(doc[home == b], prepend=np.int64(0)), total[home == b].astype(np.uint32)) for b in keys]
-        return pa.table({"home": pa.array(keys, pa.int64()), "sizes": pa.array([False] * len(keys)), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"home": pa.array(keys, pa.int64()), "sizes": pa.array([False] * len(keys), pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     return shared
 

@@ -1,26 +1,21 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    s = (
-        SparkSession.builder.master("local[4]").appName("lodestack-tests").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh"))).getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("cp")))
-    return s
 
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """documents from (doc_id, text) pairs, with the table's columns and one that clashes with inner names."""
 
-    def make(rows, **columns):
-        full = [(i, t, "en", columns.get("source", "s0") if not callable(columns.get("source")) else columns["source"](i), None if t is None else len(t), 7) for i, t in rows]
+    def make(rows, source="s0", lang="en"):
+        full = [(i, t, lang, source(i) if callable(source) else source, None if t is None else len(t), 7) for i, t in rows]
         return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, key long")
 
     return make
+
+
+#: Nulls, empty and blank texts, repeated rows, equal ids with other texts, a very long text.
+ODD = [(None, "alpha beta gamma delta epsilon zeta"), (None, None), (1, None), (2, ""), (3, " \n\t\r\n "), (4, "alpha beta gamma delta epsilon zeta"), (4, "alpha beta gamma delta epsilon zeta"), (4, "another text of the same id with words enough to count"), (5, "Ünïcode ÉTÉ 日本語 🎉 words here"), (6, "x " * 60000), (7, "Alpha Beta gamma delta epsilon zeta")]
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return list(ODD)
