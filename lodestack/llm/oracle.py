@@ -36,3 +36,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
+
+#: Words of a text as a list, as ngram_join.py takes them.
+SPACED = "list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+SQL["op7_ngram_jaccard"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED.format(t='text')} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS sh FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT i, j FROM p WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT j, i FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+r AS (SELECT i AS v, i AS u FROM l UNION SELECT l.j, r.u FROM r JOIN l ON r.v = l.i),
+m AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN m ON s.doc_id = m.v
+"""
+
+SQL["op9_line_dedup"] = """
+WITH o AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_filter(string_split(replace(replace(lower(line), chr(9), ' '), chr(13), ' '), ' '), lambda x: x <> '') AS w FROM o),
+k AS (SELECT doc_id, pos, line, w, doc_id * 4294967296 + pos AS place FROM w WHERE len(w) >= 5),
+u AS (SELECT line, min(place) AS first, any_value(w) AS w FROM k GROUP BY line),
+s AS (SELECT line, first, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS sh FROM u),
+x AS (SELECT line, first, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.line, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND b.first < a.first GROUP BY a.line, b.line),
+g AS (SELECT DISTINCT line FROM p WHERE 180 * c >= 80 * (na + nb)),
+z AS (SELECT k.doc_id, k.pos FROM k JOIN u USING (line) WHERE k.place > u.first OR line IN (SELECT line FROM g)),
+q AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM z GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN q USING (doc_id)
+"""
