@@ -474,6 +474,74 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", t.byte_tokens("text").alias("tokens"), F.sha2("text", 256).alias("content_hash"), t.slug("source").alias("slug"))
 
 
+@register("""
+WITH o AS (SELECT 'n' || c_nationkey AS x, 'n' || ((c_nationkey * 7 + o_orderkey) % 25) AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+u AS (SELECT DISTINCT least(x, y) AS from_node_id, greatest(x, y) AS to_node_id FROM o WHERE x <> y)
+SELECT from_node_id, to_node_id FROM u WHERE from_node_id IN ('n1', 'n2', 'n9') OR to_node_id IN ('n1', 'n2', 'n9')""")
+def tunnels_in_list(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.tunnels_touching(_tunnels(spark, sf), ["n1", "n2", "n9"]).select("from_node_id", "to_node_id")
+
+
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def keyed_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return state.delete(table(spark, sf, "customer").select("c_custkey"), gone, ["c_custkey"])
+
+
+@register("SELECT p_partkey AS id, s_name AS installed_path, CASE WHEN s_name IS NULL THEN 'available' ELSE 'installed' END AS state FROM part LEFT JOIN supplier ON p_partkey = s_suppkey")
+def catalog_full_info(spark: SparkSession, sf: str) -> DataFrame:
+    inv = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("binary_name"), F.col("s_name").alias("path"), F.lit("1").alias("version"))
+    return catalog.full_info(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), inv).select("id", "installed_path", "state")
+
+
+@register("SELECT p_partkey AS id, p_name AS name, CASE WHEN e.k IS NULL THEN 'recommended' ELSE 'enabled' END AS grouping FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 7) e ON p_partkey = e.k WHERE list_contains(string_split(p_type, ' '), 'SMALL') AND p_brand = 'Brand#1' ORDER BY CASE WHEN e.k IS NULL THEN 0 ELSE 1 END DESC, name, id LIMIT 500")
+def catalog_suggest(spark: SparkSession, sf: str) -> DataFrame:
+    tools = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("languages"), F.col("p_brand").alias("type"))
+    enabled = table(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("tool_id"))
+    return catalog.suggest(tools, enabled, 500, ["SMALL"], tool_type="Brand#1").select("id", "name", "grouping")
+
+
+@register("""
+WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)
+SELECT event_type, v[CAST(round((len(v) - 1) * 0.5) AS INT) + 1] AS p50, v[CAST(round((len(v) - 1) * 0.95) AS INT) + 1] AS p95 FROM v""")
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.latency(table(spark, sf, "events"), "event_type", "value")
+
+
+@register("""
+WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 4)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.path = b.path""")
+def reindex_changes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    new = d.where("path % 10 <> 4").withColumn("content", F.when(F.col("path") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return state.changes(d.where("path % 10 <> 3"), new)
+
+
+@register("SELECT conv_id, turn, role, CAST(octet_length(encode(text)) AS INT) AS bytes FROM conversations WHERE role IN ('user', 'assistant') AND turn BETWEEN 1 AND 3")
+def transcript_filter(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    return c.where(F.col("role").isin("user", "assistant") & F.col("turn").between(1, 3)).select("conv_id", "turn", "role", F.octet_length("text").alias("bytes"))
+
+
+@register("""SELECT user_id AS project_id, count(*) AS entries, min(strftime(ts, '%Y-%m-%d')) AS first_date, max(strftime(ts, '%Y-%m-%d')) AS last_date FROM events GROUP BY user_id""")
+def diary_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "events").select(F.col("user_id").alias("project_id"), F.date_format("ts", "yyyy-MM-dd").alias("entry_date"))
+    return state.diary_summary(d)
+
+
+@register("""
+WITH l AS (SELECT user_id, max(epoch_ms(ts)) AS m FROM events GROUP BY user_id) SELECT event_id FROM events JOIN l USING (user_id) WHERE epoch_ms(ts) >= m - 604800000""")
+def series_retention(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), t.millis("ts").alias("ts_ms"))
+    return flows.retained(e, 7.0).select("event_id")
+
+
+@register("SELECT count(DISTINCT lower(s_name)) + count(DISTINCT lower(n_name)) AS entities, (SELECT count(*) FROM (SELECT DISTINCT lower(c_name), c_nationkey FROM customer)) + (SELECT count(*) FROM (SELECT DISTINCT lower(s_name), s_nationkey FROM supplier)) AS relations FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.stats(_entities(spark, sf), _relations(spark, sf))
+
+
 @register()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Plain-text chunks of all documents, by the chunker in Python (tests hold it against the rules)."""
