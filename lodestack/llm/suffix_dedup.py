@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import mix64, pack, slices, texts, unpack
 
 LENGTH, GRAM = 50, 16
-_BUCKET_BYTES, _SLICE = 8 << 20, 2 << 20
+_BUCKET_BYTES, _SLICE, _BATCH = 8 << 20, 1 << 20, 1 << 18
+_SUBS = 64  # parts of a range, so that a transform stays near _BATCH bytes
 _KIND = "key long, blob binary"
 U = np.uint64
 
@@ -47,12 +48,23 @@ def home_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hashes of all grams, by doubling."""
-    h, have = t.astype(U) + U(1), 1
-    while have < gram:
-        more = min(have, gram - have)
-        h = mix64(h[: len(h) - more] * U(0x9E3779B97F4A7C15) + h[more:] + U(have))
+    """64-bit hashes, never 0, of all grams: whole bytes are joined to words of up to 8, and words are mixed."""
+    width = min(8, gram)
+    w, have = t.astype(U), 1
+    while have < width:
+        more = min(have, width - have)
+        w = w[: len(w) - more] | (w[more:] << U(8 * have)) if more == have else w[: len(w) - more] | (w[more:] >> U(8 * (have - more)) << U(8 * have))
         have += more
+    n = len(t) - gram + 1
+    h = w[:n] * U(0x9E3779B97F4A7C15)
+    for at in [*range(width, gram - width, width), gram - width] if gram > width else []:
+        h ^= h >> U(32)
+        h += w[at : at + n] * U(0xC2B2AE3D27D4EB4F)
+        h *= U(0x165667B19E3779F9)
+    h ^= h >> U(29)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(32)
+    h |= U(1)
     return h
 
 
@@ -61,26 +73,24 @@ def segments(docs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     none = np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     total = int(sizes.sum())
-    if not len(docs) or total < length:
+    if total < length:
         return none, none, none, none.view(U)
-    t = np.frombuffer(b"".join(docs), np.uint8)
-    m, width = gram_hashes(t, gram), length - gram + 1
+    m, width = gram_hashes(np.frombuffer(b"".join(docs), np.uint8), gram), length - gram + 1
     have = 1
     while have < width:
         step = min(have, width - have)
         m = np.minimum(m[: len(m) - step], m[step:])
         have += step
-    first = np.cumsum(sizes) - sizes
-    # Starts whose string stays in its document.
-    n_starts = np.maximum(sizes - length + 1, 0)
-    doc = np.repeat(np.arange(len(docs)), n_starts)
-    within = np.arange(len(doc)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-    if not len(doc):
-        return none, none, none, none.view(U)
-    value = m[first[doc] + within]
-    new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]))
-    end = np.concatenate([new[1:], [len(doc)]]) - 1
-    return doc[new], within[new], within[end], value[new]
+    end = np.cumsum(sizes)
+    first = end - sizes
+    for a, z in zip(np.maximum(first, end - length + 1).tolist(), end.tolist(), strict=True):
+        m[a:z] = 0  # strings from here would leave the document
+    new = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]])
+    start, last = new[:-1], new[1:] - 1
+    fine = m[start] != 0
+    start, last = start[fine], last[fine]
+    doc = np.searchsorted(end, start, "right")
+    return doc, start - first[doc], last - first[doc], m[start]
 
 
 def _ordinals(doc: np.ndarray) -> np.ndarray:
@@ -91,7 +101,8 @@ def _ordinals(doc: np.ndarray) -> np.ndarray:
 
 
 def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
-    return (((mix64(key) >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
+    """The range of well-mixed keys."""
+    return (((key >> U(32)) * U(ranges)) >> U(32)).astype(np.int64)
 
 
 def _rows(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -100,10 +111,12 @@ def _rows(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 def _by_home(ids: np.ndarray, buckets: int, offset: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Blobs of the columns, behind the ids' differences, by home bucket."""
+    if not len(ids):
+        return [], []
     home = home_of(ids, buckets)
     order = np.argsort(home, kind="stable")
     home = home[order]
-    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
     keys, blobs = [], []
     for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
         o = order[a:b]
@@ -115,15 +128,15 @@ def _by_home(ids: np.ndarray, buckets: int, offset: int, *columns: np.ndarray) -
 # --- 1: which minimizers stand in two documents ------------------------------------------------------------------------
 
 
-def _deal_keys(length: int, gram: int, ranges: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _deal_keys(length: int, gram: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", _SLICE):
             ids = b.column(0).to_numpy().astype(np.int64)
             doc, _, _, key = segments([t or b"" for t in texts(b.column(1))], length, gram)
             if not len(doc):
                 continue
-            at = _ordinals(doc)
-            order = np.argsort(key, kind="stable")
+            at, key = _ordinals(doc), mix64(key) & ~U((1 << (64 - bits)) - 1)  # shortened keys only add candidates
+            order = np.argsort(key)
             k, d, o = key[order], doc[order], at[order]
             new = np.concatenate([[True], k[1:] != k[:-1]])
             start = np.flatnonzero(new)
@@ -132,14 +145,12 @@ def _deal_keys(length: int, gram: int, ranges: int, buckets: int) -> Callable[[I
             keys, blobs = _by_home(own[many], buckets, ranges, o[many].astype(np.uint32))  # settled here
             send = ~many | new  # what is settled goes out once, so that others learn of it
             k, d, o = k[send], d[send], o[send]
-            r = _range_of(k, ranges)
-            order = np.lexsort((k, r))
-            k, d, o, r = k[order], d[order], o[order], r[order]
+            r = _range_of(k, ranges)  # grows with the key
             cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             for x, y in zip(cuts, [*cuts[1:], len(r)], strict=True):
                 doc_here, where = np.unique(d[x:y], return_inverse=True)
                 keys.append(int(r[x]))
-                blobs.append(pack(np.diff(k[x:y], prepend=U(0)), where.astype(np.uint32), o[x:y].astype(np.uint32), np.diff(ids[doc_here], prepend=np.int64(0))))
+                blobs.append(pack(np.diff(k[x:y] >> U(64 - bits), prepend=U(0)), where.astype(np.uint32), o[x:y].astype(np.uint32), np.diff(ids[doc_here], prepend=np.int64(0))))
             yield _rows(keys, blobs)
 
     return deal
@@ -159,7 +170,7 @@ def _meet_keys(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Tabl
             ids.append(np.cumsum(i, dtype=np.int64)[w])
             o.append(c)
         k, ids, o = np.concatenate(k), np.concatenate(ids), np.concatenate(o)
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         k, ids, o = k[order], ids[order], o[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])
         start = np.flatnonzero(new)
@@ -224,15 +235,15 @@ def _deal_segments(length: int, gram: int, ranges: int, buckets: int) -> Callabl
             x = np.array(settled, np.int64)
             keys, blobs = _by_home(ids[x[:, 0]], buckets, ranges, twin[x[:, 0]].astype(np.uint16), x[:, 1].astype(np.uint32), x[:, 2].astype(np.uint32))
         if entries:
-            k = np.array([e[0] for e in entries], U)
-            r = _range_of(k, ranges)
+            k = mix64(np.array([e[0] for e in entries], U))
+            r, sub = _range_of(k, ranges), (k % U(_SUBS)).astype(np.uint8)
             order = np.argsort(r, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], r[order][1:] != r[order][:-1]]))
             for x, y in zip(cuts, [*cuts[1:], len(r)], strict=True):
                 e = [entries[i] for i in order[x:y]]
                 d = np.array([i[1] for i in e], np.int64)
                 keys.append(int(r[order[x]]))
-                blobs.append(pack(np.diff(ids[d], prepend=np.int64(0)), twin[d].astype(np.uint16), np.array([i[2] for i in e], np.uint32), np.array([len(i[3]) for i in e], np.uint32), np.frombuffer(b"".join(i[3] for i in e), np.uint8)))
+                blobs.append(pack(np.diff(ids[d], prepend=np.int64(0)), twin[d].astype(np.uint16), np.array([i[2] for i in e], np.uint32), np.array([len(i[3]) for i in e], np.uint32), sub[order[x:y]], np.frombuffer(b"".join(i[3] for i in e), np.uint8)))
         return pa.Table.from_batches([_rows(keys, blobs)])
 
     return deal
@@ -247,18 +258,18 @@ def bounded_order(t: np.ndarray, length: int) -> np.ndarray:
     padded = np.concatenate([t.astype(np.int64), np.zeros(have, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(have):
-        key = (key << 9) | padded[k : k + n]
+        key <<= 9
+        key |= padded[k : k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if have >= length:
-            return order
+            return order.astype(np.int32)
         s = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) + 1
-        later = np.zeros(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], s[1:] != s[:-1]]))
+        key = rank * (n + 2)
         if have < n:
-            later[: n - have] = rank[have:]
-        key = rank * (n + 2) + later
+            key[: n - have] += rank[have:]
         have *= 2
 
 
@@ -269,29 +280,35 @@ def common_starts(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     its suffixes' common prefix with the next one is l; where that is new it is noted, and the interval is expanded in turn."""
     n = len(t)
     order = bounded_order(t, length)
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
-    before = order - 1
-    bwt = np.where(before >= 0, t[before], 0)  # the value before each suffix; nothing stands before the first
-    back = np.where(before >= 0, inverse[before], 0)  # where the suffix one value longer stands
-    head = np.concatenate([t[order], [-1]])
+    inverse = np.empty(n, np.int32)
+    inverse[order] = np.arange(n, dtype=np.int32)
+    bwt = t[order - 1]  # the value before each suffix
+    bwt[order == 0] = 0  # nothing stands before the first
+    back = inverse[order - 1]  # where the suffix that is one value longer stands
+    back[bwt == 0] = -1  # strings with a separator are never asked for
+    head = np.concatenate([t[order], [-1]]).astype(np.int16)
+    split = head[1:] != head[:-1]  # a suffix after which the first value changes
     edge = np.zeros(n + 1, bool)
     edge[0] = edge[n] = True
-    owner = np.full(n + 2, -1, np.int64)
+    owner = np.full(n + 2, -1, np.int32)
     stamp = 0
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    lo, hi = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(length):
         if not len(lo):
             break
         sizes = hi - lo
-        j = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        who = np.repeat(np.arange(stamp, stamp + len(lo)), sizes)
+        if stamp + len(lo) > 2_000_000_000:
+            owner[:] = -1
+            stamp = 0
+        who = np.repeat(np.arange(stamp, stamp + len(lo), dtype=np.int32), sizes)
+        j = np.arange(len(who), dtype=np.int32) + np.repeat((lo - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
         stamp += len(lo)
-        real = bwt[j] > 0  # strings with a separator are never asked for
-        to, who = back[j[real]], who[real]
+        to = back[j]
+        real = to >= 0
+        to, who = to[real], who[real]
         owner[to] = who
-        ends = to[(owner[to + 1] != who) | (head[to + 1] != head[to])]
-        starts = to[(owner[to - 1] != who) | (head[to - 1] != head[to]) | (to == 0)]
+        ends = to[(owner[to + 1] != who) | split[to]]
+        starts = to[(owner[to - 1] != who) | split[to - 1] | (to == 0)]
         ends.sort()
         starts.sort()
         fresh = ~edge[ends + 1]
@@ -303,11 +320,11 @@ def common_starts(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def least_owner(segs: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
     """For each start of a string of ``length`` in each segment the least owner of a segment that holds it."""
     sizes = np.fromiter(map(len, segs), np.int64, len(segs))
-    t = np.zeros(int(sizes.sum()) + len(segs), np.int64)
+    t = np.zeros(int(sizes.sum()) + len(segs), np.int16)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     inside = np.ones(len(t), bool)
     inside[begin + sizes] = False
-    t[inside] = np.frombuffer(b"".join(segs), np.uint8).astype(np.int64) + 1
+    t[inside] = np.frombuffer(b"".join(segs), np.uint8).astype(np.int16) + 1
     order, edge = common_starts(t, length)
     of = np.repeat(np.arange(len(segs)), sizes + 1)
     valid = (np.arange(len(t)) - begin[of] + length <= sizes[of])[order]
@@ -320,6 +337,27 @@ def least_owner(segs: list[bytes], owner: np.ndarray, length: int) -> list[np.nd
     return [out[b : b + s - length + 1] for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
+def _runs(number: dict[bytes, int], entries: list[tuple[int, int, int, int]], length: int, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Removed runs of the entries (document, twin, place, segment), by home bucket."""
+    ids, twin, lo, seg = np.array(entries, np.int64).T
+    owner = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(owner, seg, ids)
+    least = least_owner(list(number), owner, length)
+    n = np.fromiter(map(len, least), np.int64, len(least))
+    first = np.cumsum(n) - n
+    flat = np.concatenate(least)
+    e = np.repeat(np.arange(len(seg)), n[seg])
+    within = np.arange(len(e)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
+    gone = flat[first[seg[e]] + within] < ids[e]
+    e, within = e[gone], within[gone]
+    if not len(e):
+        return [], []
+    a = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (within[1:] != within[:-1] + 1)]))
+    z = np.concatenate([a[1:], [len(e)]]) - 1
+    own = e[a]
+    return _by_home(ids[own], buckets, 0, twin[own].astype(np.uint16), (lo[own] + within[a]).astype(np.uint32), (lo[own] + within[z] + length).astype(np.uint32))
+
+
 def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """Of a range: the removed runs of each document."""
 
@@ -327,33 +365,27 @@ def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table
         r = key[0].as_py()
         if r >= ranges:
             return pa.table({"key": pa.array([r - ranges] * part.num_rows, pa.int64()), "blob": part.column("blob").combine_chunks()})
-        ids, twin, lo, seg = [], [], [], []
-        number: dict[bytes, int] = {}
+        parts: list[list[tuple]] = [[] for _ in range(_SUBS)]
         for blob in part.column("blob").to_pylist():
-            i, w, a, n, raw = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32, np.uint8)
-            ids.append(np.cumsum(i, dtype=np.int64))
-            twin.append(w)
-            lo.append(a.astype(np.int64))
-            raw, end = raw.tobytes(), np.cumsum(n).tolist()
-            seg += [number.setdefault(raw[x:y], len(number)) for x, y in zip([0, *end[:-1]], end, strict=True)]
-        ids, twin, lo, seg = np.concatenate(ids), np.concatenate(twin), np.concatenate(lo), np.array(seg, np.int64)
-        owner = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(owner, seg, ids)
-        least = least_owner(list(number), owner, length)
-        n = np.fromiter(map(len, least), np.int64, len(least))
-        first = np.cumsum(n) - n
-        flat = np.concatenate(least)
-        e = np.repeat(np.arange(len(seg)), n[seg])
-        within = np.arange(len(e)) - np.repeat(np.cumsum(n[seg]) - n[seg], n[seg])
-        gone = flat[first[seg[e]] + within] < ids[e]
-        e, within = e[gone], within[gone]
-        if not len(e):
-            return pa.Table.from_batches([_rows([], [])])
-        new = np.concatenate([[True], (e[1:] != e[:-1]) | (within[1:] != within[:-1] + 1)])
-        a = np.flatnonzero(new)
-        z = np.concatenate([a[1:], [len(e)]]) - 1
-        own = e[a]
-        keys, blobs = _by_home(ids[own], buckets, 0, twin[own], (lo[own] + within[a]).astype(np.uint32), (lo[own] + within[z] + length).astype(np.uint32))
+            i, w, a, n, sub, raw = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8)
+            raw, end, ids = raw.tobytes(), np.cumsum(n, dtype=np.int64).tolist(), np.cumsum(i, dtype=np.int64).tolist()
+            for s, *entry in zip(sub.tolist(), ids, w.tolist(), a.tolist(), [0, *end[:-1]], end, strict=True):
+                parts[s].append((entry[0], entry[1], entry[2], raw[entry[3] : entry[4]]))
+        keys, blobs = [], []
+        number: dict[bytes, int] = {}
+        entries: list[tuple[int, int, int, int]] = []
+        held = 0
+        for s, p in enumerate(parts):  # equal strings are in the same part
+            for i, w, a, seg in p:
+                k = number.setdefault(seg, len(number))
+                held += len(seg) if k == len(number) - 1 else 0
+                entries.append((i, w, a, k))
+            parts[s] = []
+            if entries and (held >= _BATCH or s == _SUBS - 1):
+                k, b = _runs(number, entries, length, buckets)
+                keys += k
+                blobs += b
+                number, entries, held = {}, [], 0
         return pa.Table.from_batches([_rows(keys, blobs)])
 
     return expand
@@ -398,7 +430,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // _BUCKET_BYTES))
     homes = rows.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(n)))  # texts meet their results here, twice
-    dealt = rows.where("doc_id is not null").mapInArrow(_deal_keys(length, gram, n, n), _KIND)
+    dealt = rows.where("doc_id is not null").mapInArrow(_deal_keys(length, gram, n, n, min(64, max(40, (held // 16 + 1).bit_length() + 14))), _KIND)
     shared = dealt.groupBy("key").applyInArrow(_meet_keys(n, n), _KIND)
     strings = homes.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_deal_segments(length, gram, n, n), _KIND)
     runs = strings.groupBy("key").applyInArrow(_expand(length, n, n), _KIND)
