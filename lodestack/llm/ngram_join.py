@@ -77,15 +77,28 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
             rows = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
             order = np.argsort(tokens, kind="stable")
             tokens, rows = tokens[order], rows[order]
-            at = _edges(tokens, ranges, bits)
             key, blob = [], []
+            home = _home(ids, buckets)
+            if len(tokens):  # tokens that several rows of this slice hold are counted here and sent once, for no row
+                new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+                start = np.flatnonzero(new)
+                many = (np.minimum.reduceat(rows, start) != np.maximum.reduceat(rows, start))[np.cumsum(new) - 1]
+                here = np.bincount(rows[many], minlength=len(sets)).astype(np.uint32)
+                keep = ~many | new
+                tokens, rows = tokens[keep], np.where(many, len(sets), rows)[keep]
+                for b in np.unique(home[here > 0]):
+                    m = np.flatnonzero((home == b) & (here > 0))
+                    m = m[np.argsort(ids[m], kind="stable")]
+                    key.append(ranges + buckets + int(b))
+                    blob.append(pack(np.diff(ids[m], prepend=np.int64(0)), here[m]))
+            at = _edges(tokens, ranges, bits)
             for r in range(ranges):
                 a, b = at[r], at[r + 1]
                 if a < b:
                     own, where = np.unique(rows[a:b], return_inverse=True)
+                    own = own[own < len(sets)]  # the last number, if it is behind them, is of no row
                     key.append(r)
                     blob.append(pack(np.diff(tokens[a:b], prepend=np.uint64(0)), where.astype(np.uint32), np.diff(ids[own], prepend=np.int64(0))))
-            home = _home(ids, buckets)
             for b in np.unique(home):
                 m = np.flatnonzero(home == b)
                 key.append(ranges + int(b))
@@ -114,16 +127,18 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """Of a range: for each document, how many of its tokens stand in another row too."""
 
     def shared(key: tuple, part: pa.Table) -> pa.Table:
-        if key[0].as_py() >= ranges:  # sizes and set ids pass through
-            k = pa.array([key[0].as_py() - ranges] * part.num_rows, pa.int64())
-            return pa.table({"home": k, "sizes": pa.array([True] * part.num_rows, pa.bool_()), "blob": part.column("blob").combine_chunks()})
-        tokens, rows, ids, base = [], [], [], 0
+        if key[0].as_py() >= ranges:  # sizes with set ids, and counts, pass through
+            home, sizes = (key[0].as_py() - ranges) % buckets, key[0].as_py() < ranges + buckets
+            k = pa.array([home] * part.num_rows, pa.int64())
+            return pa.table({"home": k, "sizes": pa.array([sizes] * part.num_rows, pa.bool_()), "blob": part.column("blob").combine_chunks()})
+        tokens, rows, ids, real, base = [], [], [], [], 0
         for blob in part.column("blob").to_pylist():
             t, r, i = _small(blob)
             tokens.append(t)
             rows.append(r.astype(np.int64) + base)
-            ids.append(i)
-            base += len(i)
+            ids += [i, np.zeros(1, np.int64)]  # one more for the tokens of no row
+            real += [np.ones(len(i), bool), np.zeros(1, bool)]
+            base += len(i) + 1
         t, r, i = np.concatenate(tokens), np.concatenate(rows), np.concatenate(ids)
         order = np.argsort(t, kind="stable")
         t, r = t[order], r[order]
@@ -131,8 +146,9 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
         start = np.flatnonzero(new)
         low, high = np.minimum.reduceat(r, start), np.maximum.reduceat(r, start)
         often = (low != high)[np.cumsum(new) - 1]
-        count = np.bincount(r[often], minlength=base)
-        doc, where = np.unique(i, return_inverse=True)
+        known = np.concatenate(real)
+        count = np.bincount(r[often], minlength=base)[known]
+        doc, where = np.unique(i[known], return_inverse=True)
         total = np.bincount(where, weights=count).astype(np.int64)
         doc, total = doc[total > 0], total[total > 0]
         home = _home(doc, buckets)
