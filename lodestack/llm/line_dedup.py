@@ -6,9 +6,9 @@ at an earlier place (doc_id, line number) is alike: the Jaccard similarity of th
 
 1. All tokens are counted in a sketch of 2**16 slots; tokens are ordered by rarity class, then by hash.
 2. Of each line the prefix n - ceil(t*n) + 1 of that order is dealt out; tokens that stand in one line only go at once.
-3. Lines that share a prefix token are paired under the length filter and the positional filter: first each with the earliest line of
-   each token, then those still without an earlier match with all earlier lines of their tokens. So a family of
-   copies takes linear work.
+3. Lines that share a prefix token are paired under the length filter and the positional filter: first each with one line, of
+   the earliest lines of its tokens the one it has most tokens in common with; then those still without an earlier match with all earlier lines of
+   their tokens. So a family of copies takes linear work.
 4. Jaccard is verified on the lines' own tokens.
 
 Lines with equal text are one from the start, and counted by their first place. A null text has no lines and stays null; an
@@ -18,12 +18,14 @@ same line at the same place of two such rows does not go. Extra columns pass thr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SIZE, PERCENT, SLOTS = 5, 80, 1 << 16
+#: Keys of 8 bytes that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST = 2_000_000
 _MASK = (1 << 56) - 1
 LINE = ["l1", "l2"]
 
@@ -54,10 +56,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
+def _keys(size: int) -> Column:
+    """The hash of each token of the words ``w``. Equal tokens have equal hashes, so of a line at most as
+    many keys are foreign to another line as tokens are, and the filters stay exact on keys; what passes is verified on tokens."""
+    return F.transform(F.slice("w", 1, F.size("w") - (size - 1)), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, size)]))
+
+
+def _spread(lines: DataFrame, size: int) -> DataFrame:
+    """A row per token of each line: ``s``, its key. Outer explosion keeps Spark from splitting each line twice for a filter."""
+    words = lines.select(_words(F.col("line")).alias("w"))
+    at = words.select("w", F.explode_outer(F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))).alias("i"))
+    return at.select("i", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(size)]).alias("s")).where("i is not null").drop("i")
+
+
 def _rarity(lines: DataFrame, size: int) -> bytes:
     """For each slot of the sketch the rarity class, 2 per doubling of its count over all tokens, from 1 to 127: a string of SLOTS
     bytes, whatever the input."""
-    counts = _hashes(lines, size).select(_shingles(size).alias("s")).select(F.explode_outer("s").alias("s")).where("s is not null").groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
+    counts = _spread(lines, size).groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(126)) + 1
     rows = counts.groupBy(F.floor(F.col("slot") / 256).alias("part")).agg(F.collect_list(F.struct("slot", level.cast("int").alias("c"))).alias("x"))
     out = bytearray(b"\x01" * SLOTS)
@@ -68,15 +83,21 @@ def _rarity(lines: DataFrame, size: int) -> bytes:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lines of the same token, the right one earlier, that pass the length and positional filters."""
+    """Pairs of lines of the same key, the right one earlier, that can be alike. n counts a line's tokens, k its
+    keys, q its prefix; keys foreign to the other line are no more than tokens are.
+
+    Length filter: neither has more tokens than the threshold allows. Positional filter: the common keys up to this one, and those behind it. Then by
+    pair: common keys are those of both prefixes, and behind the prefix that ends first."""
     a, b = left.alias("a"), right.alias("b")
-    na, nb, pa, pb = F.col("a.n"), F.col("b.n"), F.col("a.p"), F.col("b.p")
+    na, nb, ka, kb, pa, pb, qa, qb = (F.col(x) for x in ("a.n", "b.n", "a.k", "b.k", "a.p", "b.p", "a.q", "b.q"))
     length = (na * percent <= nb * 100) & (nb * percent <= na * 100)
-    most = F.least(pa, pb) + F.least(na - pa, nb - pb)  # tokens up to this one, and tokens behind it
-    return (
-        a.join(b, F.col("a.t") == F.col("b.t")).where((F.col("a.place") > F.col("b.place")) & length & (most * (100 + percent) >= (na + nb) * percent))
-        .select(F.col("a.l1").alias("l1"), F.col("a.l2").alias("l2"), F.col("b.l1").alias("m1"), F.col("b.l2").alias("m2")).distinct()
+    slack = F.least(na - ka, nb - kb)  # tokens may be more than keys
+    most = F.least(pa, pb) + F.least(ka - pa, kb - pb) + slack
+    met = a.join(b, F.col("a.t") == F.col("b.t")).where((F.col("a.place") > F.col("b.place")) & length & (most * (100 + percent) >= (na + nb) * percent))
+    pairs = met.groupBy(F.col("a.l1").alias("l1"), F.col("a.l2").alias("l2"), F.col("b.l1").alias("m1"), F.col("b.l2").alias("m2")).agg(
+        F.count("*").alias("common"), F.max(F.greatest(ka - qa, kb - qb) + slack).alias("rest"), F.max(na + nb).alias("both")
     )
+    return pairs.where((F.col("common") + F.col("rest")) * (100 + percent) >= F.col("both") * percent).select(*LINE, "m1", "m2", "common")
 
 
 def _alike(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -90,34 +111,44 @@ def _alike(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, th, pos) of every line that goes."""
     lines = lines_of(docs)
+    n_words = F.size(F.array_remove(F.split(F.replace(F.replace(F.col("line"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), ""))
+    occurrences = cut(lines.where(n_words >= size).select("doc_id", "th", "pos", "place", *LINE), "lines")
     classes = F.lit(bytearray(_rarity(lines, size)))
 
     def token(s: Column) -> Column:
-        return F.ascii(F.substring(classes, F.pmod(s, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long") * F.lit(1 << 56) + s.bitwiseAND(F.lit(_MASK))
-
-    ordered = _hashes(lines, size).withColumn("s", _shingles(size)).withColumn("s", F.sort_array(F.array_distinct(F.transform("s", token))))
-    n = F.size("s")
-    prefix = ordered.select(*LINE, n.alias("n"), F.posexplode_outer(F.slice("s", 1, n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1)).alias("p", "t"))
-    dealt = prefix.withColumn("p", F.col("p") + 1).repartition("t")
-    # The same exchange feeds the counts and the rows they select: equal columns keep it equal.
-    common = dealt.groupBy("t").agg(F.min("l1").alias("a1"), F.max("l1").alias("b1"), F.min("l2").alias("a2"), F.max("l2").alias("b2"), F.min("n").alias("n0"), F.min("p").alias("p0"))
-    common = common.where(((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & (F.col("n0") > 0) & (F.col("p0") > 0)).select("t")
-    shared = cut(dealt.join(common.hint("shuffle_hash"), "t").distinct(), "shared")
-
-    places = cut(lines.groupBy(*LINE).agg(F.min("place").alias("first"), F.count("*").alias("copies")), "places")
-    posted = cut(shared.join(places.select(*LINE, F.col("first").alias("place")), LINE), "postings")
-    wanted = posted.select(*LINE).distinct()
-    texts = lines.select(*LINE, "line").join(wanted, LINE).dropDuplicates(LINE)
-    tokens = cut(_hashes(texts, size).select(*LINE, F.array_distinct(_shingles(size)).alias("tokens")), "tokens")
+        level = F.ascii(F.substring(classes, F.pmod(s, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        return level * F.lit(1 << 56) + s.bitwiseAND(F.lit(_MASK))
+
+    # Of each line the rarest keys: one more than may be foreign to a similar line.
+    keyed = lines.select("l1", _words(F.col("line")).alias("w")).select("l1", F.size("w").alias("k"), F.when(F.size("w") >= size, _keys(size)).alias("s"))
+    ordered = keyed.select("l1", F.sort_array(F.array_distinct(F.transform("s", token))).alias("s"), (F.col("k") - (size - 1)).alias("m"))
+    foreign = F.col("m") - F.ceil(F.col("m") * percent / F.lit(100.0)).cast("int")
+    prefix = ordered.select("l1", F.size("s").alias("k"), F.posexplode_outer(F.slice("s", 1, F.greatest(F.lit(1), foreign + 1))).alias("p", "t"))
+    dealt = prefix.where("t is not null").select("l1", "t", (F.col("k").cast("long") * F.lit(1 << 31) + F.col("p") + 1).alias("kp")).repartition("t")
+    same = Window.partitionBy("t")
+    often = dealt.withColumns({"low": F.min("l1").over(same), "high": F.max("l1").over(same)}).where("low <> high")
+    shared = often.select("l1", "t", F.shiftright("kp", 31).alias("k"), F.col("kp").bitwiseAND((1 << 31) - 1).alias("p"))
+    posts = cut(shared.groupBy("l1").agg(F.collect_set(F.struct("t", "p", "k")).alias("posts")), "posts")  # at most a line's prefix
+    texts = lines.select(*LINE, "place", "line")
+    if posts.count() <= BROADCAST:  # a checked bound: the lines' keys filter the texts before they are shuffled
+        texts = texts.join(F.broadcast(posts.select("l1")), "l1", "left_semi")
+    met = texts.join(posts, "l1")
+    first_place = Window.partitionBy(*LINE).orderBy("place")
+    wanted = met.withColumn("first", F.row_number().over(first_place)).where("first = 1").drop("first")
+    m = F.size("h") - (size - 1)
+    known = cut(_hashes(wanted, size).select(*LINE, "place", "posts", (m - F.ceil(m * percent / F.lit(100.0)).cast("int") + 1).alias("q"), F.array_distinct(_shingles(size)).alias("tokens")), "wanted")
+    tokens = known.select(*LINE, "tokens")
+    posted = known.select(*LINE, "place", "q", F.size("tokens").alias("n"), F.explode("posts").alias("x")).select(*LINE, "place", "n", "x.t", "x.p", "x.k", F.least("q", "x.k").alias("q"))
 
     earliest = posted.groupBy("t").agg(F.min("place").alias("place"))
     heads = posted.join(earliest, ["t", "place"])
-    first = cut(_alike(_pairs(posted, heads, percent), tokens, percent), "alike")
+    best = Window.partitionBy(*LINE).orderBy(F.col("common").desc(), "m1", "m2")
+    nearest = _pairs(posted, heads, percent).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    first = cut(_alike(nearest, tokens, percent), "alike")
     second = cut(_alike(_pairs(posted.join(first, LINE, "left_anti"), posted, percent), tokens, percent), "alike")
     gone = first.union(second).withColumn("gone", F.lit(True))
+    places = occurrences.groupBy(*LINE).agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     verdict = places.join(gone, LINE, "left").where("gone or copies > 1").select(*LINE, "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    long_enough = F.size(_words(F.col("line"))) >= size
-    occurrences = lines.where(long_enough).select("doc_id", "th", "pos", "place", *LINE)
     return occurrences.join(verdict, LINE).where(F.col("gone") | (F.col("place") > F.col("first"))).select("doc_id", "th", "pos")
 
 
