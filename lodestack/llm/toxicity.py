@@ -198,7 +198,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
-    return docs.where(fold() != 0).select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    return docs.where(fold() != 0).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # about ``most`` rows at most
 
 
 def _stem_counts(sample: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int, int]:
