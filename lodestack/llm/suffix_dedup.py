@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import mix64, pack, slices, texts, unpack
 
 LENGTH, GRAM = 50, 16
-_BUCKET_BYTES, _SLICE, _BATCH = 8 << 20, 1 << 20, 1 << 18
+_BUCKET_BYTES, _SLICE, _BATCH = 8 << 20, 1 << 20, 3 << 17
 _SUBS = 64  # parts of a range, so that a transform stays near _BATCH bytes
 _KIND = "key long, blob binary"
 U = np.uint64
@@ -337,9 +337,8 @@ def least_owner(segs: list[bytes], owner: np.ndarray, length: int) -> list[np.nd
     return [out[b : b + s - length + 1] for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
-def _runs(number: dict[bytes, int], entries: list[tuple[int, int, int, int]], length: int, buckets: int) -> tuple[list[int], list[bytes]]:
-    """Removed runs of the entries (document, twin, place, segment), by home bucket."""
-    ids, twin, lo, seg = np.array(entries, np.int64).T
+def _runs(number: dict[bytes, int], seg: np.ndarray, ids: np.ndarray, twin: np.ndarray, lo: np.ndarray, length: int, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Removed runs of the entries (segment, document, twin, place), by home bucket."""
     owner = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(owner, seg, ids)
     least = least_owner(list(number), owner, length)
@@ -365,27 +364,28 @@ def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table
         r = key[0].as_py()
         if r >= ranges:
             return pa.table({"key": pa.array([r - ranges] * part.num_rows, pa.int64()), "blob": part.column("blob").combine_chunks()})
-        parts: list[list[tuple]] = [[] for _ in range(_SUBS)]
+        got, raws, at = [], [], 0
         for blob in part.column("blob").to_pylist():
             i, w, a, n, sub, raw = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8)
-            raw, end, ids = raw.tobytes(), np.cumsum(n, dtype=np.int64).tolist(), np.cumsum(i, dtype=np.int64).tolist()
-            for s, *entry in zip(sub.tolist(), ids, w.tolist(), a.tolist(), [0, *end[:-1]], end, strict=True):
-                parts[s].append((entry[0], entry[1], entry[2], raw[entry[3] : entry[4]]))
-        keys, blobs = [], []
-        number: dict[bytes, int] = {}
-        entries: list[tuple[int, int, int, int]] = []
-        held = 0
-        for s, p in enumerate(parts):  # equal strings are in the same part
-            for i, w, a, seg in p:
-                k = number.setdefault(seg, len(number))
-                held += len(seg) if k == len(number) - 1 else 0
-                entries.append((i, w, a, k))
-            parts[s] = []
-            if entries and (held >= _BATCH or s == _SUBS - 1):
-                k, b = _runs(number, entries, length, buckets)
-                keys += k
-                blobs += b
-                number, entries, held = {}, [], 0
+            end = np.cumsum(n, dtype=np.int64) + at
+            got.append((sub, np.cumsum(i, dtype=np.int64), w, a.astype(np.int64), end - n, end))
+            raws.append(raw)
+            at = int(end[-1])
+        sub, ids, twin, lo, start, end = (np.concatenate(x) for x in zip(*got, strict=True))
+        raw = np.concatenate(raws).tobytes()
+        order = np.argsort(sub, kind="stable")
+        sub, held = sub[order], np.cumsum((end - start)[order])
+        keys, blobs, x = [], [], 0
+        while x < len(order):  # equal strings are in the same part; parts are taken together up to _BATCH bytes
+            y = int(np.searchsorted(held, (held[x - 1] if x else 0) + _BATCH))
+            y = int(np.searchsorted(sub, sub[min(y, len(sub) - 1)], "right"))
+            o = order[x:y]
+            number: dict[bytes, int] = {}
+            seg = np.fromiter((number.setdefault(raw[p:q], len(number)) for p, q in zip(start[o].tolist(), end[o].tolist(), strict=True)), np.int64, len(o))
+            k, b = _runs(number, seg, ids[o], twin[o], lo[o], length, buckets)
+            keys += k
+            blobs += b
+            x = y
         return pa.Table.from_batches([_rows(keys, blobs)])
 
     return expand
