@@ -20,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are alike to an earlier line leave the texts, and documents of which nothing else is left go."""
-    out = line_dedup.dedup(docs)
+    """Lines that are alike to an earlier line, short ones too, leave the texts, and documents of which nothing else is left go."""
+    out = line_dedup.dedup(docs, short=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -2,7 +2,8 @@
 
 A line's tokens are its distinct 5-word shingles (words between spaces, tabs and returns, lower-cased). A line goes when a line
 at an earlier place (doc_id, line number) is alike: the Jaccard similarity of their token sets reaches the threshold. Lines of fewer than
-``size`` words are left alone.
+``size`` words are left alone, or with ``short`` have their whole word sequence as their one token: they are alike when their
+words are the same, and go without a join. Lines without words are always left alone.
 
 1. All tokens are counted in a sketch of 2**16 slots; tokens are ordered by rarity class, then by hash.
 2. Of each line the prefix n - ceil(t*n) + 1 of that order is dealt out; tokens that stand in one line only go at once.
@@ -108,11 +109,15 @@ def _alike(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return both.where(same * (100 + percent) >= (F.size("tokens") + F.size("other")) * percent).select(*LINE).distinct()
 
 
-def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, short: bool = False) -> DataFrame:
     """(doc_id, th, pos) of every line that goes."""
     lines = lines_of(docs)
     n_words = F.size(F.array_remove(F.split(F.replace(F.replace(F.col("line"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), ""))
-    occurrences = cut(lines.where(n_words >= size).select("doc_id", "th", "pos", "place", *LINE), "lines")
+    named = lines
+    if short:  # a short line is named by its words, so the count of its places finds all that are alike
+        words = F.when(n_words < size, F.array_join(_words(F.col("line")), " "))
+        named = lines.withColumns({"l1": F.coalesce(F.when(n_words < size, F.xxhash64(words)), F.col("l1")), "l2": F.coalesce(F.when(n_words < size, F.xxhash64(F.lit(1), words)), F.col("l2"))})
+    occurrences = cut(named.where(n_words >= (1 if short else size)).select("doc_id", "th", "pos", "place", *LINE), "lines")
     classes = F.lit(bytearray(_rarity(lines, size)))
 
     def token(s: Column) -> Column:
