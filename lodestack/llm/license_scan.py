@@ -1,11 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lowered. A block is a window of 3/2 of the template's words, laid at every
-quarter of the template, so no word of a text is left out. A block matches a template when it holds ``percent`` of the
+Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lowered. A block is a window of 3/2 of the template's words that slides
+over all places of template tokens. A block matches a template when it holds ``percent`` of the
 template's distinct words (containment). The join is exact: the template's tokens are ordered by their count in all documents, rarest
 first; a block that matches must hold one of the first |T| - ceil(c*|T|) + 1 (prefix filter), cannot be shorter than ceil(c*|T|)
-(length filter), and from the place of its first prefix token must still be able to reach the overlap (positional filter); what passes
-is verified.
+(length filter); what passes is counted as the window slides. `Template.blocks` lays windows at every quarter of the template only.
 
 The templates are few and fixed, so each task holds them all. Null and empty texts have no words. Rows are treated one by one; other columns are ignored.
 """
@@ -70,6 +69,28 @@ class Template:
             out.append((start, min(start + self.width, len(words)), len(held) / len(self.tokens)))
         return out
 
+    def windows(self, words: list[bytes], distinct: set[bytes]) -> list[tuple[int, int, float]]:
+        """The same of every window that begins with a template token. A window that begins elsewhere holds no token that the
+        one from its first token on does not hold, so no match at another start is lost."""
+        if distinct.isdisjoint(self.prefix) or len(self.rank.keys() & distinct) < self.need or len(words) < self.need:
+            return []
+        rank = np.fromiter((self.rank.get(w, -1) for w in words), np.int64, len(words))
+        at = np.flatnonzero(rank >= 0)
+        ends = np.searchsorted(at, at + self.width)
+        if (ends - np.arange(len(at))).max() < self.need:
+            return []
+        r, out, count, held, hi = rank[at].tolist(), [], [0] * len(self.tokens), 0, 0
+        for i, (start, end) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
+            while hi < end:
+                held += count[r[hi]] == 0
+                count[r[hi]] += 1
+                hi += 1
+            if held >= self.need:
+                out.append((start, min(start + self.width, len(words)), held / len(self.tokens)))
+            count[r[i]] -= 1
+            held -= count[r[i]] == 0
+        return out
+
 
 def phrase_places(words: list[bytes], distinct: set[bytes], phrases: list[tuple[tuple[bytes, ...], str]]) -> list[tuple[int, str]]:
     out = []
@@ -114,7 +135,7 @@ def scanner(docs: DataFrame, *, text: str = "text", percent: int = PERCENT, temp
                 rows.append({
                     "n_words": len(words),
                     "places": [{"start": s, "label": x} for s, x in phrase_places(words, distinct, spelled)],
-                    "blocks": [{"label": x.label, "start": a, "end": b, "containment": c} for x in all_templates for a, b, c in x.blocks(words, distinct)],
+                    "blocks": [{"label": x.label, "start": a, "end": b, "containment": c} for x in all_templates for a, b, c in x.windows(words, distinct)],
                 })
         return pa.array(rows, kind)
 
