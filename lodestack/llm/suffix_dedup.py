@@ -233,7 +233,7 @@ def _deal_segments(length: int, gram: int, ranges: int, buckets: int) -> Callabl
         keys, blobs = [], []
         if settled:
             x = np.array(settled, np.int64)
-            keys, blobs = _by_home(ids[x[:, 0]], buckets, ranges, twin[x[:, 0]].astype(np.uint16), x[:, 1].astype(np.uint32), x[:, 2].astype(np.uint32))
+            keys, blobs = _by_home(ids[x[:, 0]], buckets, ranges, twin[x[:, 0]].astype(np.uint32), x[:, 1].astype(np.uint32), x[:, 2].astype(np.uint32))
         if entries:
             k = mix64(np.array([e[0] for e in entries], U))
             r, sub = _range_of(k, ranges), (k % U(_SUBS)).astype(np.uint8)
@@ -243,7 +243,7 @@ def _deal_segments(length: int, gram: int, ranges: int, buckets: int) -> Callabl
                 e = [entries[i] for i in order[x:y]]
                 d = np.array([i[1] for i in e], np.int64)
                 keys.append(int(r[order[x]]))
-                blobs.append(pack(np.diff(ids[d], prepend=np.int64(0)), twin[d].astype(np.uint16), np.array([i[2] for i in e], np.uint32), np.array([len(i[3]) for i in e], np.uint32), sub[order[x:y]], np.frombuffer(b"".join(i[3] for i in e), np.uint8)))
+                blobs.append(pack(np.diff(ids[d], prepend=np.int64(0)), twin[d].astype(np.uint32), np.array([i[2] for i in e], np.uint32), np.array([len(i[3]) for i in e], np.uint32), sub[order[x:y]], np.frombuffer(b"".join(i[3] for i in e), np.uint8)))
         return pa.Table.from_batches([_rows(keys, blobs)])
 
     return deal
@@ -354,7 +354,7 @@ def _runs(number: dict[bytes, int], seg: np.ndarray, ids: np.ndarray, twin: np.n
     a = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (within[1:] != within[:-1] + 1)]))
     z = np.concatenate([a[1:], [len(e)]]) - 1
     own = e[a]
-    return _by_home(ids[own], buckets, 0, twin[own].astype(np.uint16), (lo[own] + within[a]).astype(np.uint32), (lo[own] + within[z] + length).astype(np.uint32))
+    return _by_home(ids[own], buckets, 0, twin[own].astype(np.uint32), (lo[own] + within[a]).astype(np.uint32), (lo[own] + within[z] + length).astype(np.uint32))
 
 
 def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -366,7 +366,7 @@ def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table
             return pa.table({"key": pa.array([r - ranges] * part.num_rows, pa.int64()), "blob": part.column("blob").combine_chunks()})
         got, raws, at = [], [], 0
         for blob in part.column("blob").to_pylist():
-            i, w, a, n, sub, raw = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32, np.uint8, np.uint8)
+            i, w, a, n, sub, raw = unpack(blob, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
             end = np.cumsum(n, dtype=np.int64) + at
             got.append((sub, np.cumsum(i, dtype=np.int64), w, a.astype(np.int64), end - n, end))
             raws.append(raw)
@@ -397,7 +397,7 @@ def _expand(length: int, ranges: int, buckets: int) -> Callable[[tuple, pa.Table
 def _finish(docs: pa.Table, runs: pa.Table) -> pa.Table:
     got = [np.zeros((0, 4), np.int64)]
     for blob in runs.column("blob").to_pylist():
-        i, w, a, z = unpack(blob, np.int64, np.uint16, np.uint32, np.uint32)
+        i, w, a, z = unpack(blob, np.int64, np.uint32, np.uint32, np.uint32)
         got.append(np.stack([np.cumsum(i, dtype=np.int64), w.astype(np.int64), a.astype(np.int64), z.astype(np.int64)], 1))
     x = np.concatenate(got)
     x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
