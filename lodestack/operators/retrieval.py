@@ -18,9 +18,10 @@ OVERLAP = 0.3
 GRAPH_NEIGHBOUR, GRAPH_RELATION = 0.8, 0.9
 
 
-def top_k(df: DataFrame, k: int, score: str = "score", key: str = "id", digits: int | None = None) -> DataFrame:
+def top_k(df: DataFrame, k: int | None, score: str = "score", key: str = "id", digits: int | None = None) -> DataFrame:
     s = F.round(score, digits) if digits is not None else F.col(score)
-    return df.withColumn(score, s).orderBy(F.col(score).desc(), F.col(key)).limit(k)
+    out = df.withColumn(score, s).orderBy(F.col(score).desc(), F.col(key))
+    return out if k is None else out.limit(k)
 
 
 def keyword_score(content: str, query: str) -> Column | None:
@@ -53,7 +54,8 @@ def cosine(v: Column, query: Sequence[float]) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(v, q) / norm)
 
 
-def dense_search(vectors: DataFrame, query: Sequence[float], k: int, threshold: float | None = None, vector: str = "vector", key: str = "id", digits: int | None = None) -> DataFrame:
+def dense_search(vectors: DataFrame, query: Sequence[float], k: int | None, threshold: float | None = None, vector: str = "vector", key: str = "id", digits: int | None = None) -> DataFrame:
+    """The k best rows, or with k None all rows that reach the threshold."""
     scored = vectors.withColumn("score", cosine(F.col(vector), query))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -80,7 +80,7 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {_QV}) >= 0.25 ORDER BY score DESC, id LIMIT 1000")
 def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.dense_search(_vectors(spark, sf), _first_vector(spark, sf), 1000, 0.25, digits=6).select("id", "score")
+    return retrieval.dense_search(_vectors(spark, sf), _first_vector(spark, sf), None, 0.25, digits=6).select("id", "score")
 
 
 _DENSE_40 = f"(SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS d FROM embeddings ORDER BY d DESC, id LIMIT 40)"
