@@ -55,9 +55,9 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, doc
 SQL["op9_line_dedup"] = """
 WITH o AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, list_filter(string_split(replace(replace(lower(line), chr(9), ' '), chr(13), ' '), ' '), lambda x: x <> '') AS w FROM o),
-k AS (SELECT doc_id, pos, line, w, doc_id * 4294967296 + pos AS place FROM w WHERE len(w) >= 5),
+k AS (SELECT doc_id, pos, line, w, doc_id * 4294967296 + pos AS place FROM w WHERE len(w) > 0),
 u AS (SELECT line, min(place) AS first, any_value(w) AS w FROM k GROUP BY line),
-s AS (SELECT line, first, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS sh FROM u),
+s AS (SELECT line, first, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS sh FROM u),
 x AS (SELECT line, first, len(sh) AS n, unnest(sh) AS t FROM s),
 p AS (SELECT a.line, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND b.first < a.first GROUP BY a.line, b.line),
 g AS (SELECT DISTINCT line FROM p WHERE 180 * c >= 80 * (na + nb)),

@@ -9,16 +9,16 @@ def brute(docs):
     for i, t in docs:
         for p, x in enumerate((t or "").split("\n") if t is not None else []):
             w = words(x)
-            if len(w) >= 5:
-                places.append(((i is None, i or 0, p), x, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+            if w:  # fewer than five words: the whole sequence as one token
+                places.append(((i is None, i or 0, p), x, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
     out = []
     for i, t in docs:
         gone = []
         for p, x in enumerate(t.split("\n") if t is not None else []):
             w = words(x)
-            if len(w) < 5:
+            if not w:
                 continue
-            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
             first = min(q for q, y, _ in places if y == x)
             here = (i is None, i or 0, p)
             if here > first or any(q < first and 180 * len(s & z) >= 80 * (len(s) + len(z)) for q, _, z in places):
@@ -51,7 +51,7 @@ def test_texts(docs_of):
     docs = [(1, "one two three four five\nshort\n\nnine eight seven six five"), (2, "one two three four five"), (3, "keep\nOne two three  four five\nshort"), (4, ""), (5, None), (None, "one two three four five\nx")]
     out = ld.dedup(docs_of(docs))
     assert out.columns == docs_of([]).columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: docs[0][1], 3: "keep\nshort", 4: "", 5: None, None: "x"}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: docs[0][1], 3: "keep", 4: "", 5: None, None: "x"}
     assert {r.doc_id: r.text for r in ld.dedup(docs_of(docs), drop_emptied=False).collect()}[2] == ""
 
 
