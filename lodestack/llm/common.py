@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -88,10 +87,13 @@ def unpack(blob: bytes, *dtypes: object) -> list[np.ndarray]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the session has it; one of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir as the session has it, or the context's own checkpoint folder. On local[...]
+    masters, where driver and executors are one process, the warehouse stands in where both are unset; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="lodestack-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestack-cuts"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -101,7 +103,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by cut() that no plan reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,14 +20,18 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(v, root) of every vertex of the edges (a, b); the root is the component's least vertex."""
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) of every vertex of the edges (a, b); the root is the component's least vertex.
+
+    Rounds go on until the edges stand still, which is when every component is a star around its least vertex; a round's table is
+    deleted when the next one is written."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before = state
+        before, last = state, e
         e = cut(_stars(e), "edges")
+        spent(last)
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).union(e.select(F.col("b").alias("v"), F.col("b").alias("root"))).distinct()

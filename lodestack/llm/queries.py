@@ -45,7 +45,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return line_dedup.digest(table(spark, sf_dir, "documents"), arrow=True)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

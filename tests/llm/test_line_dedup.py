@@ -64,3 +64,35 @@ def test_empty_and_repeated_rows(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = ld.digest(docs_of([(1, "a b c d e f\na b c d e f")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def phrased():
+    """Lines of a few common phrases with words of their own, in families of near copies: most tokens of a line are frequent."""
+    r = random.Random(9)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(r.choice([6, 9, 14]))) for k in range(3)]
+    lines = [" ".join(r.sample([*phrases, f"own{i} a{i} b{i}", f"c{i % 7} d{i % 5}"], r.choice([2, 3, 4]))) for i in range(90)]
+    return [(i, "\n".join(r.choice(lines) for _ in range(3))) for i in range(70)]
+
+
+def test_frequent_tokens_lose_no_line(docs_of):
+    assert sorted((tuple(x) for x in ld.digest(docs_of(phrased()), arrow=True).collect()), key=str) == brute(phrased())
+
+
+def test_arrow_batches_equal_brute_force(docs_of, odd, monkeypatch):
+    monkeypatch.setattr(ld.Tokens, "MOST", 3000)  # several slices
+    docs = [*[x for x in odd if x[0] != 4], (4, "alpha beta gamma delta epsilon zeta"), *corpus()]
+    docs += [(900, "\n" * 70000 + "Les\u00a0amis\t d\u00e9j\u00e0 vu\r"), (901, "les\u00a0amis D\u00c9J\u00c0   VU\n\n"), (902, "one two three four five\n\none two three four five six"), (903, " \n")]
+    got = ld.digest(docs_of(docs), arrow=True).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(docs)
+
+
+def test_shuffled_joins_give_the_same(docs_of, monkeypatch):
+    for name, value in (("BROADCAST", 0), ("BROADCAST_ROWS", 0), ("HOT", 20)):
+        monkeypatch.setattr(ld, name, value)
+    assert sorted((tuple(x) for x in ld.digest(docs_of(corpus()), arrow=True).collect()), key=str) == brute(corpus())
+
+
+def test_arrow_empty_table_and_extra_columns(docs_of):
+    assert ld.digest(docs_of([]), arrow=True).count() == 0
+    out = ld.dedup(docs_of([(1, "a b\na  B"), (2, None)]).withColumnRenamed("key", "pos"), arrow=True)
+    assert "pos" in out.columns and {r.doc_id: r.text for r in out.collect()} == {1: "a b", 2: None}
