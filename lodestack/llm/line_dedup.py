@@ -8,8 +8,8 @@ alike: the Jaccard similarity of their token sets reaches the threshold. Lines w
 2. Written down for each line: a name (128 bits of hash of its words), the size of its token set, and the
    prefix n - ceil(t*n) + 1 of its tokens in that order. Lines of equal words are one line from here on, counted by their first place.
 3. The written tokens are counted, before the shuffle and after it; tokens that stand in one line only go at once.
-4. Lines that share a prefix token are paired under the length filter and the positional filter: first each with one line, of
-   the earliest lines of its tokens the one it has most tokens in common with; then those still without an earlier match with all earlier lines of
+4. Lines that share a prefix token are paired under the length filter and the positional filter: first each with a few, of
+   the earliest lines of its tokens those it has most tokens in common with; then those still without an earlier match with all earlier lines of
    their tokens. So a family of copies takes linear work.
 5. Jaccard is verified on the lines' whole token sets, which only the lines of pairs that are left get built from the texts again.
 
@@ -41,6 +41,8 @@ SLOTS, ARROW_SLOTS = 1 << 16, 1 << 22
 BROADCAST, BROADCAST_ROWS = 2_000_000, 400_000
 #: Names that hold more than this share of all lines are no more than this many.
 HOT = 4096
+#: Heads that a line is compared with before it meets all lines of its tokens.
+HEADS = 3
 NAME = ["l1", "l2"]
 
 
@@ -324,7 +326,7 @@ def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, sho
     posted = posts.select("place", *NAME, "n", "t", "r")
     heads = posted.groupBy("t").agg(F.min(F.struct("place", *NAME, "n", "r")).alias("x")).select("t", "x.*")
     best = Window.partitionBy(*NAME).orderBy(F.col("common").desc(), "m1", "m2")
-    nearest = cut(_pairs(posted, heads, percent).withColumn("k", F.row_number().over(best)).where("k = 1").select(*NAME, "m1", "m2"), "nearest")
+    nearest = cut(_pairs(posted, heads, percent).withColumn("k", F.row_number().over(best)).where(F.col("k") <= HEADS).select(*NAME, "m1", "m2"), "nearest")
     one = _alike(nearest, docs, posts, size, percent, arrow)
     others = cut(_pairs(posted.join(one, NAME, "left_anti"), posted, percent).select(*NAME, "m1", "m2"), "others")
     two = _alike(others, docs, posts, size, percent, arrow)

@@ -29,7 +29,7 @@ BINS, ROUNDS = 1024, 4
 
 
 def word_count(text: str) -> Column:
-    """Number of words [^\\x20\\x09-\\x0D]+ (null: 0): the words' starts, counted without building them."""
+    """Number of words [^\\x20\\x09-\\x0D]+ (null: 0): the words' starts, split off and counted."""
     t = F.coalesce(F.col(text), F.lit(""))
     return F.when(F.length(F.trim(t)) == 0, F.lit(0)).otherwise(F.size(F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != ""))).cast("long")
 
@@ -68,18 +68,22 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: int) -> DataFra
     return t.select("source", "size", F.when(full, ceiling).otherwise(F.col("weight") * level).alias("target"))
 
 
-def tilts(t: DataFrame, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
-    """Newton's iterations on the dual, all sources at once; adds ``rate`` = exp(lambda)."""
+def tilts(t: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Newton's iterations on the dual, all sources at once, until the largest error is below the tolerance or falls no more; adds
+    ``rate`` = exp(lambda)."""
     live = (F.col("size") > 0) & (F.col("target") > 0)
     now = t.withColumn("lam", F.lit(1.2))  # right of every root, as rates are at most the cap: the steps then fall monotonically
-    for step in range(most):
+    before, step = float("inf"), 0
+    while True:
         value = F.col("size") * F.exp("lam")
         now = now.withColumn("lam", F.when(live, F.col("lam") - (value - F.col("target")) / value).otherwise(F.lit(0.0)))
         if step % 8 == 7:
             now = cut(now, "tilts")
             off = now.where(live).agg(F.max(F.abs(F.col("size") * F.exp("lam") - F.col("target")) / F.col("target"))).first()[0]
-            if off is None or off < tolerance:
+            if off is None or off < tolerance or off >= before:
                 break
+            before = off
+        step += 1
     return now.select("source", "size", "target", F.when(live, F.exp("lam")).otherwise(F.lit(0.0)).alias("rate"))
 
 
@@ -141,7 +145,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def resample(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The documents as often as the mix takes them, columns unchanged and ``copy`` (from 1) behind them.
+    """The documents as often as the mix takes them, columns unchanged and ``copy`` (from 1) behind them; ``copy_1`` or the next free name
+    where the documents have a column of that name.
 
     The table of sources has a row per source; Spark broadcasts it while it is small and else joins by source, splitting hot ones."""
     names = docs.columns
@@ -149,7 +154,9 @@ def resample(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, cap: int
     d = docs.select(row, F.col("source").alias("source"), word_count("text").alias("size"), uniform("doc_id", "text").alias("u"))
     p = plan(cut(d.select("source", "size", "u"), "sizes"), weights, cap)
     taken = d.alias("d").join(p.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.row", _copies(cap).alias("n")).where("n > 0")
-    return taken.select(*[F.col(f"row.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    used = {c.lower() for c in names}
+    name = next(c for c in ["copy", *[f"copy_{i}" for i in range(1, len(names) + 2)]] if c not in used)
+    return taken.select(*[F.col(f"row.`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias(name))
 
 
 def digest(docs: DataFrame, **more: object) -> DataFrame:

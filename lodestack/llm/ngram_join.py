@@ -237,7 +237,7 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int, ranges: int) ->
     within each slice first, so that a frequent token sends one row per slice."""
     sent = sets.sparkSession.sparkContext.broadcast(rarity)  # 2**SKETCH_BITS numbers
     mask = np.uint64(len(rarity) - 1)
-    grid = np.log(100.0 / percent)
+    grid = np.log(100.0 / percent) if percent < 100 else 0.0
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sent.value
@@ -247,7 +247,7 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int, ranges: int) ->
                 t = np.frombuffer(blob, np.uint64)
                 n = len(t)
                 p = t[np.lexsort((t, rare[(t & mask).astype(np.int64)]))][: n - bound(n, percent) + 1]
-                size = np.uint64(int(np.log(n) / grid + 1e-9))  # sizes of partners are in the same class or the next
+                size = np.uint64(int(np.log(n) / grid + 1e-9) if grid else n)  # sizes of partners are in the same class or the next
                 for s in (size, size + np.uint64(1)):
                     keys.append(mix64(p ^ mix64(np.full(1, s, np.uint64))))
                     at.append(np.full(len(p), i, np.int64))

@@ -429,7 +429,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // _BUCKET_BYTES))
-    homes = rows.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(n)))  # texts meet their results here, twice
+    homes = rows.withColumn("key", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)))  # texts meet their results here, twice; rows without an id have none
     dealt = rows.where("doc_id is not null").mapInArrow(_deal_keys(length, gram, n, n, min(64, max(40, (held // 16 + 1).bit_length() + 14))), _KIND)
     shared = dealt.groupBy("key").applyInArrow(_meet_keys(n, n), _KIND)
     strings = homes.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_deal_segments(length, gram, n, n), _KIND)

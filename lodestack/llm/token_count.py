@@ -150,16 +150,17 @@ def counter(path: str = MODEL) -> Callable[[str], Column]:
 
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
-        return pa.array(_tokenizer(pieces).count(t) for t in column.to_pylist())
+        one = _tokenizer(pieces)
+        return pa.array(one.count(t) for t in column.to_pylist())
 
     return count
 
 
-_loaded: dict[int, Unigram] = {}
+_loaded: dict[tuple[tuple[str, float], ...], Unigram] = {}
 
 
 def _tokenizer(pieces: list[tuple[str, float]]) -> Unigram:
-    key = hash(tuple(pieces[:100])) ^ len(pieces)
+    key = tuple(pieces)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Unigram(pieces)

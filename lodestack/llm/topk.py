@@ -13,7 +13,9 @@ cutoff is lowered by the rounding error, and phase 3 alone decides, in Python's
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Shorter
 vectors count as filled with zeros. Rows that repeat an id are candidates each by itself (not of their own id), and
-the repeated query is answered once, by its smallest vector. Columns other than the named ones are ignored.
+the repeated query is answered once, by its smallest vector. Columns other than the named ones are ignored; an empty table gives none.
+Scores beyond 64 bits are ranked as whole numbers of up to 38 digits (larger ones as the largest of them) and returned as the
+largest or smallest long.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K, EVERY, BLOCK, SLICE = 5, 50, 4096, 4096
+_LARGEST = 10**38 - 1
 
 
 def whole(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -39,7 +42,8 @@ def whole(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _floor(x: F.Column) -> F.Column:
-    scaled = x.cast("double") * 256.0
+    most = 1.7976931348623157e308
+    scaled = F.greatest(F.least(x.cast("double") * 256.0, F.lit(most)), F.lit(-most))  # finite also where the product is not
     return F.when(F.abs(scaled) < 2.0**62, F.floor(scaled).cast("double")).otherwise(scaled)  # larger doubles are whole already
 
 
@@ -70,9 +74,10 @@ class Block:
 
     def scores(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries x rows) scores, own rows at -inf, and the queries' error bounds (0 while products are exact)."""
-        s = self.q @ x.T
+        with np.errstate(all="ignore"):
+            s = self.q @ x.T
+            bound = self.norm * (np.abs(x).max() if x.size else 0.0)
         s[self.ids[:, None] == ids[None, :]] = -np.inf
-        bound = self.norm * (np.abs(x).max() if x.size else 0.0)
         return s, np.where(bound < 2.0**53, 0.0, bound * 1e-12)
 
 
@@ -103,7 +108,8 @@ def search_block(rows: DataFrame, block: Block, k: int) -> DataFrame:
         top = np.full((n, k), -np.inf)
         for ids, x in _parts(batches, b.dims):
             s, err = b.scores(ids, x)
-            s -= err[:, None]
+            with np.errstate(all="ignore"):
+                s = np.nan_to_num(s - err[:, None], nan=-np.inf, posinf=-np.inf, neginf=-np.inf)  # a lower bound, where there is one
             both = np.concatenate([top, s], 1)
             top = -np.partition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
         q, at = np.nonzero(top > -np.inf)
@@ -120,8 +126,9 @@ def search_block(rows: DataFrame, block: Block, k: int) -> DataFrame:
         for ids, x in _parts(batches, b.dims):
             s, err = b.scores(ids, x)
             out_q, out_i = [], []
-            hit = s + err[:, None] >= b.cutoff[:, None]
-            hit &= s > -np.inf
+            with np.errstate(all="ignore"):
+                hit = ~(s + err[:, None] < b.cutoff[:, None])  # what can't be told is resolved
+            hit &= b.ids[:, None] != ids[None, :]
             for q in np.flatnonzero(hit.any(1)).tolist():
                 at = np.flatnonzero(hit[q])
                 if not err[q]:
@@ -130,6 +137,7 @@ def search_block(rows: DataFrame, block: Block, k: int) -> DataFrame:
                 out_i += at.tolist()
             i = np.array(out_i, np.int64)
             exact = [sum(int(a) * int(c) for a, c in zip(b.q[q], x[j], strict=True)) for q, j in zip(out_q, out_i, strict=True)]
+            exact = [max(-_LARGEST, min(_LARGEST, x)) for x in exact]
             yield pa.RecordBatch.from_arrays([pa.array(b.ids[np.array(out_q, np.int64)]), pa.array(ids[i]), pa.array(exact, pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
 
     entries = rows.mapInArrow(sufficient, "query_id long, vec_id long, score decimal(38,0)")
@@ -150,4 +158,4 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embe
         part = queries.where(F.col("b") == i).drop("b") if n > 1 else queries
         found = search_block(rows, Block([(r["vec_id"], r["v"]) for r in part.toLocalIterator()]), k)
         out = found if out is None else out.unionByName(found)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.least(F.greatest("score", F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long").alias("score"))
