@@ -74,7 +74,7 @@ def _rarity(docs: DataFrame, size: int) -> bytes:
     bytes, whatever the input."""
     words = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_words(F.col("line")).alias("w"))
     at = words.select("w", F.explode_outer(F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))).alias("i"))  # outer: else each line is split twice for a filter
-    tokens = at.select("i", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(size)]).alias("s")).where("i is not null")
+    tokens = at.select("i", F.xxhash64(*[F.xxhash64(F.get("w", F.col("i") + k)) for k in range(size)]).alias("s")).where("i is not null")  # hashed as _shingles does
     counts = tokens.groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(126)) + 1
     rows = counts.groupBy(F.floor(F.col("slot") / 256).alias("part")).agg(F.collect_list(F.struct("slot", level.cast("int").alias("c"))).alias("x"))
