@@ -50,7 +50,7 @@ def suggest(tools: DataFrame, enabled: DataFrame, k: int, languages: list[str] |
     if max_risk:
         t = t.where(risk_rank() <= RISK[max_risk])
     out = with_state(t, enabled, cli, root)
-    return out.withColumn("grouping", F.when(F.col("state") == "enabled", "enabled").otherwise("recommended")).orderBy(F.col("state").desc(), "name").limit(k)
+    return out.withColumn("grouping", F.when(F.col("state") == "enabled", "enabled").otherwise("recommended")).orderBy(F.col("state").desc(), "name", "id").limit(k)
 
 
 def search(tools: DataFrame, query: str, k: int) -> DataFrame:

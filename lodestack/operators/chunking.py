@@ -112,10 +112,16 @@ def _below(stack: list[tuple[int, str]], level: int) -> list[tuple[int, str]]:
     return stack
 
 
+def _lines(content: str) -> list[str]:
+    """Cut at line ends only, without their returns; a line end at the end of the text begins no line."""
+    lines = [x.removesuffix("\r") for x in content.split("\n")]
+    return lines[:-1] if lines[-1] == "" else lines
+
+
 def plain(content: str, most: int = MAX_TOKENS) -> list[Piece]:
     """Lines packed to 4 * most bytes; a blank line ends a chunk that is half full."""
     limit, out, part, size, first = most * 4, [], [], 0, 1
-    for n, line in enumerate(content.splitlines(), 1):
+    for n, line in enumerate(_lines(content), 1):
         length = len(line.encode()) + 1
         if part and not line.strip() and size * 2 >= limit:
             out.append(Piece("\n".join(part).rstrip(), lines=(first, n)))

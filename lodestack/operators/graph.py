@@ -97,16 +97,27 @@ def top_types(entities: DataFrame, k: int = 8, kind: str = "entity_type") -> Dat
     return entities.groupBy(F.col(kind).alias("entity_type")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "entity_type").limit(k)
 
 
+def _durable(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder: the plan behind them ends there. A folder of our own only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return df.checkpoint()
+
+
 def traverse(nodes: DataFrame, start: str, depth: int, most: int = 2000, tunnels: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Nodes reached from ``start`` over parent and child edges with their least depth, level by level; tunnels with both ends reached.
 
-    Each level joins its edges to the nodes not yet reached. At most ``most`` nodes are kept, the nearest first, then by kind, label and id."""
+    Each level joins the edges to the last level's nodes, less those reached before, and is checkpointed, so plans do not grow with the depth. At most ``most`` nodes are kept, the nearest first, then by kind, label and id."""
     edges = nodes.where("parent_node_id is not null").select(F.col("node_id").alias("a"), F.col("parent_node_id").alias("b"))
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = nodes.where(F.col("node_id") == start).select("node_id", F.lit(0).alias("depth"))
+    frontier = seen = nodes.where(F.col("node_id") == start).select("node_id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        step = seen.where(F.col("depth") == d - 1).join(edges, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id")).distinct()
-        seen = seen.unionByName(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d)))
+        step = frontier.join(edges, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id")).distinct()
+        frontier = _durable(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)  # one checkpoint a level
     out = seen.join(nodes, "node_id").orderBy("depth", "kind", "label", "node_id").limit(most)
     if tunnels is None:
         return out, None

@@ -160,6 +160,15 @@ def palace(chunks: DataFrame, wing: str | None = None, hall: str | None = None,
     return out
 
 
+def memory_search(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], k: int, threshold: float | None = None, most: int = 100, key: str = "id", digits: int | None = None, **place: str | None) -> DataFrame:
+    """Chunks of a place (wing, hall, room) by their vectors' cosine, best first: the place is chosen before the top k, whose size is
+    clamped to 1..most; hits meet their chunks by id."""
+    inside = palace(chunks, **place)
+    k = max(1, min(k, most))
+    hits = dense_search(vectors.join(inside.select(key), key, "left_semi"), query, k, threshold, key=key, digits=digits).select(key, "score")
+    return top_k(inside.join(F.broadcast(hits), key), k, key=key)  # at most ``most`` hits
+
+
 def search(mode: str, **legs: Callable[[], DataFrame]) -> DataFrame:
     """naive: the vector leg; local and global: the graph leg; hybrid: both."""
     if mode == "naive":

@@ -49,17 +49,14 @@ def failure_runs(calls: DataFrame, key: str, failed: Column, *order: Column) ->
 
 
 def provider_order(providers: DataFrame, policy: str, counter: int = 0, available: str | None = None) -> DataFrame:
-    """Available providers (idx from 0, p50): by priority, round robin from the counter, or latency."""
+    """Available providers (idx from 0, p50) in order, with their ``turn`` from 0: by priority, round robin from the counter, or latency."""
     p = providers if available is None else providers.where(available)
-    if policy == "priority":
-        return p.orderBy("idx")
-    if policy == "latency":
-        return p.orderBy("p50", "idx")
-    if policy == "round_robin":
-        n = p.count()
-        ranked = p.withColumn("_i", F.row_number().over(Window.orderBy("idx")) - 1)  # a pool of providers is short
-        return ranked.orderBy(F.pmod(F.col("_i") - F.lit(counter % n if n else 0), F.lit(max(n, 1)))).drop("_i")
-    raise ValueError(f"unknown policy {policy!r}")
+    if policy not in ("priority", "latency", "round_robin"):
+        raise ValueError(f"unknown policy {policy!r}")
+    order = [F.col("p50").asc_nulls_last(), F.col("idx")] if policy == "latency" else [F.col("idx")]
+    turn = F.row_number().over(Window.orderBy(*order)) - 1  # a pool of providers is short
+    n = p.count() if policy == "round_robin" else 0
+    return p.withColumn("turn", F.pmod(turn - counter % n, F.lit(n)) if n else turn).orderBy("turn")
 
 
 def metrics(calls: DataFrame, by: str, value: str) -> DataFrame:

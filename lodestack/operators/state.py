@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import calendar_like, fts_tokens, like_contains, strip
 
-#: Pages over these sizes are refused; 0 takes the default.
+# The largest page and the default page of each table; pages over the first are refused, 0 takes the second.
 CAPS = {"audit": (500, 50), "diary": (500, 20), "lessons": (500, 20), "sources": (500, 50), "nodes": (1000, 100), "tunnels": (1000, 200)}
 MOST_OF_ALL = 1000
 
+# The order of each table's pages.
 ORDERS = {
     "audit": (("id", False),),
     "sources": (("updated_at", False), ("transcript_path", True)),
@@ -42,8 +43,9 @@ def latest(rows: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
 def upsert(table: DataFrame, changes: DataFrame, key: Sequence[str], updated: str = "updated_at", keep_first: Sequence[str] = ()) -> DataFrame:
     """The table with the changes' rows in place of those of the same key; ``keep_first`` columns keep their oldest value.
 
-    Of changes with the same key the last one by ``updated`` counts. Only the changed keys are looked up in the table."""
-    new = latest(changes, key, F.col(updated).desc())
+    Of changes with the same key the last one by ``updated`` counts, of equal ones the one with the largest other columns. Only the changed keys are looked up in the table."""
+    rest = [F.col(c).desc() for c in changes.columns if c not in (*key, updated)]
+    new = latest(changes, key, F.col(updated).desc(), *rest)
     if keep_first:
         old = table.select(*key, *[F.col(c).alias(f"_{c}") for c in keep_first])
         new = new.join(old, list(key), "left")
@@ -102,6 +104,8 @@ def decode_cursor(cursor: str | None) -> int:
 
 def page_size(table: str, limit: int = 0) -> int:
     most, default = CAPS[table]
+    if limit < 0:
+        raise ValueError("negative limit")
     if limit > min(most, MOST_OF_ALL):
         raise ValueError(f"limit {limit} is over {most}")
     return limit or default
@@ -122,6 +126,16 @@ def page_at(df: DataFrame, table: str, limit: int, offset: int) -> DataFrame:
 # --- filters -----------------------------------------------------------------------------------------------------------------
 
 
+def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one key: a chunk, a node, a profile, a document."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def source_paths(chunks: DataFrame, path: str = "source_path") -> DataFrame:
+    """The distinct sources of a chunk table, in order."""
+    return chunks.select(path).distinct().orderBy(path)
+
+
 def scoped(df: DataFrame, project: str, **equal: object) -> DataFrame:
     """Rows of a project; of the other filters those that are given."""
     out = df.where(F.col("project_id") == project)
@@ -172,6 +186,7 @@ def diary_summary(diary: DataFrame) -> DataFrame:
     return diary.groupBy("project_id").agg(F.count("*").alias("entries"), F.min("entry_date").alias("first_date"), F.max("entry_date").alias("last_date"))
 
 
+# The outcomes of an audit event.
 OUTCOMES = ("success", "failure", "denied", "unknown")
 
 

@@ -97,12 +97,12 @@ def _fact_lines(text: Column) -> Column:
 
 def facts(docs: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """(key, pos, fact): lines that state something, each once at its first place."""
-    rows = docs.select(F.col(key).alias(key), F.explode(_fact_lines(F.col(text))).alias("x")).select(key, "x.pos", "x.fact")
-    first = rows.groupBy(key, "fact").agg(F.min("pos").alias("pos"))
-    if most is None:
-        return first.select(key, "pos", "fact")
-    n = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return first.withColumn("_n", n).where(F.col("_n") <= most).select(key, "pos", "fact")
+    found = docs.select(F.col(key).alias(key), _fact_lines(F.col(text)).alias("x"))  # a text's lines are in one row, so nothing is shuffled
+    names = found.select(key, "x", F.array_distinct(F.transform("x", lambda y: y["fact"])).alias("facts"))
+    if most is not None:
+        names = names.withColumn("facts", F.slice("facts", 1, most))
+    first = F.transform("facts", lambda f: F.struct(F.element_at(F.col("x.pos"), F.array_position(F.col("x.fact"), f).cast("int")).alias("pos"), f.alias("fact")))
+    return names.select(key, F.explode(first).alias("y")).select(key, "y.pos", "y.fact")
 
 
 def wake_up(sources: DataFrame, texts: DataFrame, max_sources: int, max_facts: int, key: str = "source_id", updated: str = "updated_at") -> DataFrame:

@@ -63,13 +63,13 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 7),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s
 QUALIFY rank <= 5""")
 def dense_batch_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    q = v.where("id % 100 = 7").select(F.col("id").alias("query_id"), "vector")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     return retrieval.dense_batch(v, q, 5).select("query_id", "id", "score", "rank")
 
 
@@ -78,7 +78,7 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_search(_vectors(spark, sf).where("label % 2 = 1"), _first_vector(spark, sf), 10, digits=6).select("id", "score")
 
 
-@register(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {_QV}) >= 0.25 ORDER BY score DESC, id LIMIT 1000")
+@register(f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {_QV}) >= 0.25 ORDER BY score DESC, id")
 def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_search(_vectors(spark, sf), _first_vector(spark, sf), None, 0.25, digits=6).select("id", "score")
 
@@ -349,9 +349,9 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
 @register("""
 WITH r AS (SELECT lower(c_name) AS a, lower(n_name) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT lower(s_name), lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 e AS (SELECT a AS name, b AS other FROM r UNION ALL SELECT b, a FROM r)
-SELECT DISTINCT name, other FROM e WHERE name IN (SELECT lower(n_name) FROM nation WHERE n_nationkey < 3)""")
+SELECT DISTINCT name, other FROM e WHERE name IN (SELECT lower(n_name) FROM nation)""")
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "nation").where("n_nationkey < 3").select(F.col("n_name").alias("name"))
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("name"))
     return graph.neighbours(_relations(spark, sf), names)
 
 
@@ -399,13 +399,13 @@ def route_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("""
-WITH a AS (SELECT user_id, event_type, max((event_id % 5 = 0)::INT) AS s, max((event_id % 5 = 1)::INT) AS f FROM events WHERE event_id % 40 < 2 GROUP BY ALL),
+WITH a AS (SELECT user_id, event_type, max((event_id % 5 = 0)::INT) AS s, max((event_id % 5 = 1)::INT) AS f FROM events WHERE value >= 50 GROUP BY ALL),
 x AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT x.user_id, x.event_type, CASE WHEN x.event_type <> 'purchase' THEN 'allow' WHEN s = 1 THEN 'session' WHEN f = 1 THEN 'forever' ELSE 'deny' END AS decision FROM x LEFT JOIN a USING (user_id, event_type)""")
 def approval_gate(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_type").alias("action_key"), "event_id", "user_id")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("project_id"), F.col("event_type").alias("action_key"), "event_id", "user_id", "value")
     scope = F.when(F.col("event_id") % 5 == 0, "session").when(F.col("event_id") % 5 == 1, "forever").otherwise("once")
-    known = e.where("event_id % 40 < 2").select("project_id", "action_key", scope.alias("scope"), F.lit(True).alias("approved"))
+    known = e.where("value >= 50").select("project_id", "action_key", scope.alias("scope"), F.lit(True).alias("approved"))
     actions = e.select("project_id", "action_key", "user_id").distinct().withColumn("risk_level", F.when(F.col("action_key") == "purchase", "high").otherwise("low"))
     return routing.approved(actions, known).select("user_id", F.col("action_key").alias("event_type"), "decision")
 
@@ -433,11 +433,13 @@ def metrics_avg(spark: SparkSession, sf: str) -> DataFrame:
     return routing.metrics(e, "event_type", "value").select("event_type", "calls", "total", F.col("average").cast("long").alias("average"))
 
 
-@register("SELECT n_name, CAST((n_nationkey - 7 + 25) % 25 AS INT) AS turn FROM nation")
+@register("""SELECT 'priority' AS policy, n_name, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS turn FROM nation
+UNION ALL SELECT 'latency', n_name, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INT) FROM nation
+UNION ALL SELECT 'round_robin', n_name, CAST((n_nationkey - 7 + 25) % 25 AS INT) FROM nation""")
 def profile_order(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select("n_name", F.col("n_nationkey").alias("idx"))
-    ordered = routing.provider_order(n, "round_robin", 7)
-    return ordered.select("n_name", F.pmod(F.col("idx") - 7, F.lit(25)).cast("int").alias("turn"))
+    n = table(spark, sf, "nation").select("n_name", F.col("n_nationkey").alias("idx"), F.col("n_regionkey").alias("p50"))
+    one = lambda policy: routing.provider_order(n, policy, 7).select(F.lit(policy).alias("policy"), "n_name", "turn")
+    return one("priority").unionByName(one("latency")).unionByName(one("round_robin"))
 
 
 # --- series and JSON -----------------------------------------------------------------------------------------------------------------

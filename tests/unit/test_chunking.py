@@ -81,3 +81,11 @@ def test_conversation(spark):
 
 def test_doc_section():
     assert c.doc_section("# A\na\n## B\nb\n# C\nc\n# A\nz", "A") == "# A\na\n## B\nb\n# A\nz"
+
+
+def test_plain_text_is_cut_at_line_ends_only():
+    from lodestack.operators import chunking
+
+    text = "a\x0cb c\r\nd\x85e\n"
+    (one,) = chunking.plain(text)
+    assert one.content == "a\x0cb c\nd\x85e" and one.lines == (1, 2)
