@@ -8,7 +8,8 @@ alike: the Jaccard similarity of their token sets reaches the threshold. Lines w
 2. Written down for each line: a name (128 bits of hash of its words), the size of its token set, and the
    prefix n - ceil(t*n) + 1 of its tokens in that order. Lines of equal words are one line from here on, counted by their first place.
 3. The written tokens are counted, before the shuffle and after it; tokens that stand in one line only go at once.
-4. Lines that share a prefix token are paired under the length filter and the positional filter: first each with a few, of
+4. Lines that share a prefix token are paired under the length filter, the positional filter and a filter by 128 bits of parity of their whole token
+   sets (a bit in which two lines differ stands for a token that one of them lacks, so it loses no pair): first each with a few, of
    the earliest lines of its tokens those it has most tokens in common with; then those still without an earlier match with all earlier lines of
    their tokens. So a family of copies takes linear work.
 5. Jaccard is verified on the lines' whole token sets, which only the lines of pairs that are left get built from the texts again.
@@ -43,7 +44,7 @@ BROADCAST, BROADCAST_ROWS = 2_000_000, 400_000
 HOT = 4096
 #: Heads that a line is compared with before it meets all lines of its tokens.
 HEADS = 3
-NAME = ["l1", "l2"]
+NAME, BITS = ["l1", "l2"], ["b1", "b2"]
 
 
 def _words(line: Column) -> Column:
@@ -69,6 +70,12 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1
 
 
+def _parity(tokens: Column, k: int) -> Column:
+    """The k-th 64 of 128 bits: a token counts in one of them, by its last seven bits, and it says whether an odd number does."""
+    bit = lambda s: F.call_function("shiftleft", (F.shiftright(s, 6).bitwiseAND(1) == k).cast("long"), s.bitwiseAND(63).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, s: bits.bitwiseXOR(bit(s)))
+
+
 def _rarity(docs: DataFrame, size: int) -> bytes:
     """For each slot of the sketch the rarity class, 2 per doubling of its count over all tokens, from 1 to 127: a string of SLOTS
     bytes, whatever the input."""
@@ -101,8 +108,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th (hash of the text), pos, l1 and l2 (the name), n (tokens; of a line of fewer words minus its number of words), s (prefix
-    tokens) of every line."""
+    """doc_id, th (hash of the text), pos, l1 and l2 (the name), n (tokens; of a line of fewer words minus its number of words), b1 and b2
+    (parity bits of all tokens), s (prefix tokens) of every line."""
     classes = F.lit(bytearray(_rarity(docs, size)))
 
     def token(s: Column) -> Column:
@@ -113,7 +120,8 @@ def lines_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     sets = _hashed(rows).select("doc_id", "th", "pos", "h", F.sort_array(F.array_distinct(F.transform(_shingles(size), token))).alias("s"))
     n = F.coalesce(F.size("s"), F.lit(-1))
     named = sets.select("doc_id", "th", "pos", F.xxhash64("h").alias("l1"), F.xxhash64(F.lit(1), "h").alias("l2"), F.when(n > 0, n).otherwise(-F.size("h")).alias("n"), "s")
-    return named.select("doc_id", "th", "pos", *NAME, "n", F.when(F.col("n") > 0, F.slice("s", 1, _prefix(F.col("n"), percent))).alias("s"))
+    bits = [F.coalesce(_parity(F.col("s"), k), F.lit(0).cast("long")).alias(b) for k, b in enumerate(BITS)]
+    return named.select("doc_id", "th", "pos", *NAME, "n", *bits, F.when(F.col("n") > 0, F.slice("s", 1, _prefix(F.col("n"), percent))).alias("s"))
 
 
 class Tokens:
@@ -241,18 +249,22 @@ def _arrow_lines(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     name[full] = mix64(np.add.reduceat(mix64(h ^ mix64(within * np.uint64(2) + np.uint64(seed + 1))), begin[full]))
             s, at = _distinct(s, at, sent.value)
             n = np.bincount(at, minlength=total)
+            bits, some = [np.zeros(total, np.uint64) for _ in BITS], np.flatnonzero(n)
+            for k, b in enumerate(bits):
+                if len(some):
+                    b[some] = np.bitwise_xor.reduceat((((s >> np.uint64(6)) & np.uint64(1)) == np.uint64(k)).astype(np.uint64) << (s & np.uint64(63)), (np.cumsum(n) - n)[some])
             p = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             s = s[np.arange(len(s)) - (np.cumsum(n) - n)[at] < p[at]]
             which = np.repeat(np.arange(len(lines)), lines)
             pos = np.arange(total) - (np.cumsum(lines) - lines)[which]
             ids = rows.select(["doc_id", "th"]).take(pa.array(which))
             yield pa.RecordBatch.from_arrays(
-                [ids.column(0), ids.column(1), pa.array(pos.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in names], pa.array(np.where(n > 0, n, -words).astype(np.int32)),
+                [ids.column(0), ids.column(1), pa.array(pos.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in names], pa.array(np.where(n > 0, n, -words).astype(np.int32)), *[pa.array(x.view(np.int64)) for x in bits],
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(s.view(np.int64)))],
-                names=["doc_id", "th", "pos", "l1", "l2", "n", "s"],
+                names=["doc_id", "th", "pos", *NAME, "n", *BITS, "s"],
             )
 
-    return _lowered(docs).mapInArrow(deal, "doc_id long, th long, pos int, l1 long, l2 long, n int, s array<long>")
+    return _lowered(docs).mapInArrow(deal, "doc_id long, th long, pos int, l1 long, l2 long, n int, b1 long, b2 long, s array<long>")
 
 
 def _token_sets(lines: DataFrame, size: int, arrow: bool) -> DataFrame:
@@ -274,13 +286,15 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of lines with a common prefix token, the right one earlier, that can be alike. n counts a line's tokens, r is a
     token's place in their order.
 
-    Length filter: neither has more tokens than the threshold allows. Positional filter: the common tokens up to this one, and those behind it. Then by
-    pair: common tokens are those of both prefixes, and behind the prefix that ends first."""
+    Length filter: neither has more tokens than the threshold allows. Positional filter: the common tokens up to this one, and those behind it. Parity
+    filter: common tokens are at most half of what both sizes exceed the differing bits by. Then by pair: common tokens are those of both prefixes, and behind the prefix that ends first."""
     a, b = left.alias("a"), right.alias("b")
     na, nb, ra, rb = (F.col(x) for x in ("a.n", "b.n", "a.r", "b.r"))
     length = (na * percent <= nb * 100) & (nb * percent <= na * 100)
     most = F.least(ra, rb) + F.least(na - ra, nb - rb)
-    met = a.join(b, F.col("a.t") == F.col("b.t")).where((F.col("a.place") > F.col("b.place")) & length & (most * (100 + percent) >= (na + nb) * percent))
+    differ = sum(F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in BITS)
+    position, parity = most * (100 + percent) >= (na + nb) * percent, (na + nb - differ) * (100 + percent) >= 2 * percent * (na + nb)
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.place") > F.col("b.place")) & length & position & parity)
     pairs = met.groupBy(F.col("a.l1").alias("l1"), F.col("a.l2").alias("l2"), F.col("b.l1").alias("m1"), F.col("b.l2").alias("m2")).agg(
         F.count("*").alias("common"), F.max(F.greatest(na - _prefix(na, percent), nb - _prefix(nb, percent))).alias("rest"), F.max(na + nb).alias("both")
     )
@@ -307,7 +321,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, posts: DataFrame, size: int, perce
 def _posts(single: DataFrame) -> DataFrame:
     """Of each line those of its prefix tokens that another line has written too: t, and r, its place in the order."""
     counts = cut(single.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "counts")
-    rows = single.select("doc_id", "th", "pos", "place", *NAME, "n", F.posexplode("s").alias("r", "t"))
+    rows = single.select("doc_id", "th", "pos", *NAME, "n", *BITS, F.posexplode("s").alias("r", "t"))
     out = cut(rows.join(_few(counts, BROADCAST), "t", "left_semi"), "posts")
     spent(counts)
     return out
@@ -323,8 +337,8 @@ def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, sho
     single = lines.where("n > 0").join(first, NAME, "left").where("first is null or place = first").drop("first")
 
     posts = _posts(single)
-    posted = posts.select("place", *NAME, "n", "t", "r")
-    heads = posted.groupBy("t").agg(F.min(F.struct("place", *NAME, "n", "r")).alias("x")).select("t", "x.*")
+    posted = posts.select(_place().alias("place"), *NAME, "n", *BITS, "t", "r")
+    heads = posted.groupBy("t").agg(F.min(F.struct("place", *NAME, "n", *BITS, "r")).alias("x")).select("t", "x.*")
     best = Window.partitionBy(*NAME).orderBy(F.col("common").desc(), "m1", "m2")
     nearest = cut(_pairs(posted, heads, percent).withColumn("k", F.row_number().over(best)).where(F.col("k") <= HEADS).select(*NAME, "m1", "m2"), "nearest")
     one = _alike(nearest, docs, posts, size, percent, arrow)

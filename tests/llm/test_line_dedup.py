@@ -96,3 +96,24 @@ def test_arrow_empty_table_and_extra_columns(docs_of):
     assert ld.digest(docs_of([]), arrow=True).count() == 0
     out = ld.dedup(docs_of([(1, "a b\na  B"), (2, None)]).withColumnRenamed("key", "pos"), arrow=True)
     assert "pos" in out.columns and {r.doc_id: r.text for r in out.collect()} == {1: "a b", 2: None}
+
+
+def test_filters_lose_no_pair_at_the_threshold(spark):
+    """Many lines just above and below it, of 5 to 150 words: removed as brute force does, in both forms."""
+    r = random.Random(8)
+    docs = []
+    for i in range(40):
+        base = [f"w{r.randrange(60)}" for _ in range(r.randrange(5, 150))]
+        lines = []
+        for _ in range(4):
+            w = list(base)
+            for _ in range(max(1, len(w) // r.choice([40, 60, 90]))):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randrange(2)] = [f"x{r.randrange(10**6)}"] * r.randrange(2)
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    want = brute(docs)
+    assert 30 < sum(x[2] for x in want) < 110  # of 160
+    for arrow in (False, True):
+        got = ld.digest(spark.createDataFrame(docs, "doc_id long, text string"), arrow=arrow)
+        assert sorted(map(tuple, got.collect()), key=str) == want
