@@ -15,7 +15,7 @@ alike: the Jaccard similarity of their token sets reaches the threshold. Lines w
 5. Jaccard is verified on the lines' whole token sets, which only the lines of pairs that are left get built from the texts again.
 
 Texts become tokens (1, 2 and 5) in one of two ways with the same results: in DataFrame functions (``arrow=False``, the default), or in Arrow
-batches, which take a fraction of the CPU time (the README has figures). The joins are DataFrame operations in both.
+batches (the README has figures of both). The joins are DataFrame operations in both.
 
 Tables that a checked count finds small are broadcast; beyond the bound the same joins are shuffled, and lines that stand very often
 are still joined without a shuffle, as their number is bounded by their share.
@@ -58,10 +58,14 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.select(*rest, _words(F.col("line")).alias("w")).select(*rest, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
+def _shingle(h: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(h, i + k if k else i) for k in range(size)])
+
+
 def _shingles(size: int) -> Column:
     """The hashes of h's shingles, null for a line of fewer words. (The outer transform only gives h a name that is cheap to refer
     to for each shingle.)"""
-    of = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(F.get(h, i), *[F.get(h, i + k) for k in range(1, size)]))
+    of = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: _shingle(h, i, size))
     return F.get(F.transform(F.array(F.when(F.size("h") >= size, F.col("h"))), of), 0)
 
 
@@ -72,16 +76,16 @@ def _prefix(n: Column, percent: int) -> Column:
 
 def _parity(tokens: Column, k: int) -> Column:
     """The k-th 64 of 128 bits: a token counts in one of them, by its last seven bits, and it says whether an odd number does."""
-    bit = lambda s: F.call_function("shiftleft", (F.shiftright(s, 6).bitwiseAND(1) == k).cast("long"), s.bitwiseAND(63).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, s: bits.bitwiseXOR(bit(s)))
+    bits = F.array(*[F.lit((1 << b if b < 63 else -(1 << 63)) if 0 <= b < 64 else 0).cast("long") for b in range(-64 * k, 128 - 64 * k)])  # folded to one literal
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, s: seen.bitwiseXOR(F.get(bits, s.bitwiseAND(127).cast("int"))))
 
 
 def _rarity(docs: DataFrame, size: int) -> bytes:
     """For each slot of the sketch the rarity class, 2 per doubling of its count over all tokens, from 1 to 127: a string of SLOTS
     bytes, whatever the input."""
-    words = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(_words(F.col("line")).alias("w"))
-    at = words.select("w", F.explode_outer(F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))).alias("i"))  # outer: else each line is split twice for a filter
-    tokens = at.select("i", F.xxhash64(*[F.xxhash64(F.get("w", F.col("i") + k)) for k in range(size)]).alias("s")).where("i is not null")  # hashed as _shingles does
+    words = _hashed(docs.select(F.explode(F.split("text", "\n", -1)).alias("line")))
+    at = words.select("h", F.explode_outer(F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size))).alias("i"))  # outer: else each line is split twice for a filter
+    tokens = at.select("i", _shingle(F.col("h"), F.col("i"), size).alias("s")).where("i is not null")
     counts = tokens.groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * 2), F.lit(126)) + 1
     rows = counts.groupBy(F.floor(F.col("slot") / 256).alias("part")).agg(F.collect_list(F.struct("slot", level.cast("int").alias("c"))).alias("x"))
@@ -110,11 +114,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (hash of the text), pos, l1 and l2 (the name), n (tokens; of a line of fewer words minus its number of words), b1 and b2
     (parity bits of all tokens), s (prefix tokens) of every line."""
-    classes = F.lit(bytearray(_rarity(docs, size)))
+    classes = F.split(F.lit(",".join(str(c << 56) for c in _rarity(docs, size))), ",").cast("array<bigint>")  # folded to one literal
 
     def token(s: Column) -> Column:
-        level = F.ascii(F.substring(classes, s.bitwiseAND(SLOTS - 1).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(F.coalesce(level, F.lit(1)).cast("long"), 56).bitwiseOR(s.bitwiseAND((1 << 56) - 1))
+        return F.coalesce(F.get(classes, s.bitwiseAND(SLOTS - 1).cast("int")), F.lit(1 << 56)).bitwiseOR(s.bitwiseAND((1 << 56) - 1))
 
     rows = _numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     sets = _hashed(rows).select("doc_id", "th", "pos", "h", F.sort_array(F.array_distinct(F.transform(_shingles(size), token))).alias("s"))
