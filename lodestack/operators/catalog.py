@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
-from .retrieval import bm25
+from .retrieval import bm25, dense_search
 from .state import upsert
 
 TOOL = "id string, name string, type string, category array<string>, languages array<string>, description string, when_to_use string, what_it_finds string, install struct<command:string>, run struct<command:string>, risk_level string, tags array<string>, github string, trust_level string"
@@ -53,6 +55,18 @@ def suggest(tools: DataFrame, enabled: DataFrame, k: int, languages: list[str] |
     return out.withColumn("grouping", F.when(F.col("state") == "enabled", "enabled").otherwise("recommended")).orderBy(F.col("state").desc(), "name", "id").limit(k)
 
 
+def enabled_ids(enabled: DataFrame, *roots: str) -> DataFrame:
+    """The distinct tools that a project enabled under any of its root's spellings (the canonical and the given one), in order."""
+    return enabled.where(F.col("project_root").isin(*roots)).select("tool_id").distinct().orderBy("tool_id")
+
+
+def semantic(tools: DataFrame, enabled: DataFrame, vectors: DataFrame, query: Sequence[float], k: int, threshold: float = 0.3, digits: int | None = None) -> DataFrame:
+    """The k tools whose vectors are nearest to the query's, with state; a hit that the catalog does not hold goes."""
+    hits = dense_search(vectors, query, k, threshold, digits=digits).select("id", "score")
+    found = tools.join(F.broadcast(hits), "id")  # k hits at most
+    return with_state(found, enabled).orderBy(F.col("score").desc(), "id")
+
+
 def search(tools: DataFrame, query: str, k: int) -> DataFrame:
     """Tools that hold every token of the query, best BM25 first."""
     text = F.concat_ws(" ", "name", "description", "when_to_use", "what_it_finds", F.array_join("tags", " "))

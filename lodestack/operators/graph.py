@@ -75,6 +75,20 @@ def term_search(entities: DataFrame, query: str, most: int) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(Window.orderBy("term", "kind", F.lower("name"))) - 1).select("name", "rank")  # at most ``most`` rows
 
 
+def view(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Nodes and edges of the graph in one table: part, id (a node's name, an edge's source), target and type.
+    Nodes without a name and edges without an end are left out; a missing type is 'entity' or 'relation'."""
+    kind = lambda c, other: F.coalesce(c, F.lit(other)).alias("type")
+    nodes = entities.where("name is not null").select(F.lit("node").alias("part"), F.col("name").alias("id"), F.lit(None).cast("string").alias("target"), kind("entity_type", "entity"))
+    edges = relations.where("source is not null and target is not null").select(F.lit("edge").alias("part"), F.col("source").alias("id"), "target", kind("relation_type", "relation"))
+    return nodes.unionByName(edges)
+
+
+def view_counts(view: DataFrame) -> DataFrame:
+    """entity_count and relation_count of a view."""
+    return view.agg(F.count_if(F.col("part") == "node").alias("entity_count"), F.count_if(F.col("part") == "edge").alias("relation_count"))
+
+
 def ends(relations: DataFrame) -> DataFrame:
     """(name, other, and the relation's columns) from both ends, in lower case."""
     r = relations.select(F.lower("source").alias("name"), F.lower("target").alias("other"), "relation_type", "source_chunks")

@@ -48,6 +48,14 @@ def failure_runs(calls: DataFrame, key: str, failed: Column, *order: Column) ->
     return marked.withColumn("streak", streak).withColumn("cooldown_s", cost).drop("_f", "_island")
 
 
+def availability(runs: DataFrame, key: str, at: str, now: Column, *order: str) -> DataFrame:
+    """Of each provider whether it may be asked now: after its last call (failure_runs gives streak and cooldown_s) it is healthy, or its
+    cooldown, counted from that call's time ``at``, has passed. One row per key by a partial aggregate."""
+    last = runs.groupBy(key).agg(F.max_by(F.struct("streak", "cooldown_s", at), F.struct(*order)).alias("x")).select(key, "x.*")
+    passed = F.unix_micros(now) >= F.unix_micros(at) + F.col("cooldown_s").cast("long") * 1_000_000
+    return last.select(key, "streak", ((F.col("streak") == 0) | passed).alias("available"))
+
+
 def provider_order(providers: DataFrame, policy: str, counter: int = 0, available: str | None = None) -> DataFrame:
     """Available providers (idx from 0, p50) in order, with their ``turn`` from 0: by priority, round robin from the counter, or latency."""
     p = providers if available is None else providers.where(available)

@@ -131,6 +131,22 @@ def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
+def latest_profile(profiles: DataFrame, project: str) -> DataFrame:
+    """The stored profile of a project: one row or none."""
+    return by_id(profiles, "project_id", project).select("profile_json").limit(1)
+
+
+def schema_version(migrations: DataFrame) -> DataFrame:
+    """The highest version applied; 0 before the first one."""
+    return migrations.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def effective_risk(families: DataFrame) -> DataFrame:
+    """The risk level of each project from its families (project_id, family): high with unsafe tools, else medium."""
+    unsafe = F.coalesce(F.bool_or(F.col("family") == "unsafe-tools"), F.lit(False))
+    return families.groupBy("project_id").agg(F.when(unsafe, "high").otherwise("medium").alias("risk_level"))
+
+
 def source_paths(chunks: DataFrame, path: str = "source_path") -> DataFrame:
     """The distinct sources of a chunk table, in order."""
     return chunks.select(path).distinct().orderBy(path)

@@ -289,3 +289,76 @@ def change_batch(spark: SparkSession, sf: str) -> DataFrame:
     base = c.select(F.col("c_custkey").alias("path"), F.col("c_name").alias("content"), F.lit(1).alias("version"))
     batch = c.where("c_nationkey < 12").select(F.col("c_custkey").alias("path"), F.lit("new").alias("content"), F.lit(2).alias("version"), F.when(F.col("c_custkey") % 3 == 0, "remove").otherwise("upsert").alias("op"))
     return flows.apply_changes(base, batch).select("path", "version")
+
+
+# --- lookups, availability, semantic tool search, the graph as nodes and edges ------------------------------------------------------
+
+
+@register("SELECT 'node' AS part, n_name AS id, NULL AS target, 'nation' AS type FROM nation UNION ALL SELECT 'node', s_name, NULL, 'supplier' FROM supplier "
+          "UNION ALL SELECT 'edge', c_name, n_name, 'buys_in' FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'edge', s_name, n_name, 'sells_in' FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def graph_view(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.view(_entities(spark, sf), _relations(spark, sf))
+
+
+@register("SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS entity_count, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS relation_count")
+def graph_view_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.view_counts(graph.view(_entities(spark, sf), _relations(spark, sf)))
+
+
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A profile per customer: the later of two versions stays."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("project_id"), F.col("c_name").alias("profile_json"), F.lit(0).alias("updated_at"))
+    new = c.withColumns({"profile_json": F.concat(F.lit("new "), "profile_json"), "updated_at": F.lit(1)})
+    return state.upsert(c, new, ["project_id"])
+
+
+@register("SELECT 'new ' || c_name AS profile_json FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def latest_profile(spark: SparkSession, sf: str) -> DataFrame:
+    last = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    return state.latest_profile(_profiles(spark, sf), f"c{last}")
+
+
+@register("SELECT count(*) AS n FROM customer")
+def profile_count(spark: SparkSession, sf: str) -> DataFrame:
+    return _profiles(spark, sf).agg(F.count("*").alias("n"))
+
+
+@register("SELECT CAST(coalesce(max(event_id), 0) AS BIGINT) AS version FROM events")
+def schema_version(spark: SparkSession, sf: str) -> DataFrame:
+    return state.schema_version(table(spark, sf, "events").select(F.col("event_id").cast("long").alias("version")))
+
+
+@register("SELECT 'u' || user_id AS project_id, CASE WHEN bool_or(event_type = 'error') THEN 'high' ELSE 'medium' END AS risk_level FROM events GROUP BY 1")
+def effective_risk(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return state.effective_risk(e.select(F.concat(F.lit("u"), "user_id").alias("project_id"), F.when(F.col("event_type") == "error", "unsafe-tools").otherwise("docs").alias("family")))
+
+
+@register("SELECT DISTINCT l_partkey AS tool_id FROM lineitem WHERE l_returnflag IN ('A', 'R') ORDER BY tool_id")
+def enabled_union(spark: SparkSession, sf: str) -> DataFrame:
+    enabled = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("tool_id"), F.col("l_returnflag").alias("project_root"))
+    return catalog.enabled_ids(enabled, "A", "R")
+
+
+@register(f"""WITH h AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score, list_cosine_similarity(embedding::DOUBLE[], {_QV}) AS raw FROM embeddings),
+k AS (SELECT id, score FROM h WHERE raw >= 0.1 ORDER BY score DESC, id LIMIT 30)
+SELECT id, score, CASE WHEN id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) THEN 'enabled' ELSE 'available' END AS state FROM k JOIN part ON p_partkey = id""")
+def tool_semantic_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of tools meet the catalog by id; vectors of no tool are hits that go."""
+    tools = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    enabled = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("tool_id"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return catalog.semantic(tools, enabled, v, _first_vector(spark, sf), 30, 0.1, digits=6).select("id", "score", "state")
+
+
+@register("""
+WITH m AS (SELECT *, (event_type = 'error')::INT AS f FROM events), i AS (SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m),
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i),
+l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, CAST(streak AS BIGINT) AS streak, streak = 0 OR epoch_us((SELECT max(ts) FROM events)) >= epoch_us(ts) + 1000000 * CASE streak WHEN 1 THEN 5 WHEN 2 THEN 15 ELSE 60 END AS available FROM l""")
+def provider_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each user's calls, whether the last one leaves it available at the time of the last event of all."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    runs = routing.failure_runs(e, "user_id", F.col("event_type") == "error", F.col("ts"), F.col("event_id"))
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    return routing.availability(runs, "user_id", "ts", now, "ts", "event_id").withColumn("streak", F.col("streak").cast("long"))
