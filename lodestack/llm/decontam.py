@@ -7,7 +7,8 @@ second one intersects, window by window, the offset-adjusted posting lists from
 returns exact phrase matches (and, with ``slop``, ordered proximity matches).
 
 The test items are sent to all tasks in blocks of at most ``block_words`` words, a bound that is checked: more
-items make more blocks, each matched against all documents, and the hits of a document are united.
+items make more blocks, one with the driver and the tasks at a time, each matched against all documents; between two
+blocks the documents and what was found in them are written to the shared folder. The hits of a document are united.
 
 Null texts have no words. Items without words, or with a null id, have no window. Rows are treated one by one,
 so repeated rows and ids give repeated results. Input columns other than the named ones are ignored.
@@ -20,10 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, slices, texts
+from .common import alnum_words, cut, slices, spent, texts
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -193,34 +194,50 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     ``matches`` (n_words long, spans array<struct<start,end>>, items array<string>), reading whole texts.
 
     The terms' counts that order the intersections come from ``docs``."""
-    blocks = []
-    for block in item_blocks(items, item_id, item_text, block_words):
-        t = TestItems([(r["item"], r["text"].encode()) for r in block.toLocalIterator()], window)
-        t.ranked(term_counts(docs, text, t))
-        blocks.append(t)
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]  # each at most block_words words
+    parts, spark = item_blocks(items, item_id, item_text, block_words), docs.sparkSession
     kind = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
     inner = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
-    @F.arrow_udf(kind)
-    def match(column: pa.Array) -> pa.Array:
-        rows = []
-        one = pa.RecordBatch.from_arrays([column], names=["t"])
-        for part in slices([one], "t"):
-            column_texts = texts(part.column(0))
-            all_blocks = [scan(column_texts, b.value, slop) for b in sent]
-            for found in zip(*all_blocks, strict=True):
-                spans: list[tuple[int, int]] = []
-                for s, e in sorted(x for f in found for x in f[1]):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-                    else:
-                        spans.append((s, e))
-                rows.append({"n_words": found[0][0], "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted({str(i) for f in found for i in f[2]})})
-        return pa.array(rows, inner)
-
-    return lambda df: df.withColumn("matches", match(df[text]))
+    def matcher(block: DataFrame) -> Callable[..., Column]:
+        t = TestItems([(r["item"], r["text"].encode()) for r in block.toLocalIterator()], window)
+        t.ranked(term_counts(docs, text, t))
+        sent = spark.sparkContext.broadcast(t)  # at most block_words words
+
+        @F.arrow_udf(kind)
+        def match(column: pa.Array, before: pa.Array) -> pa.Array:
+            rows, at = [], 0
+            for part in slices([pa.RecordBatch.from_arrays([column], names=["t"])], "t"):
+                for (n_words, spans, found), old in zip(scan(texts(part.column(0)), sent.value, slop), before.slice(at, part.num_rows).to_pylist(), strict=True):
+                    known = old or {"spans": [], "items": []}
+                    rows.append({"n_words": n_words, "spans": united([*spans, *((x["start"], x["end"]) for x in known["spans"])]), "items": sorted({*map(str, found), *known["items"]})})
+                at += part.num_rows
+            return pa.array(rows, inner)
+
+        return match
+
+    def run(df: DataFrame) -> DataFrame:
+        out, held = df.withColumn("matches", F.lit(None).cast(kind)), None
+        for i, block in enumerate(parts):
+            out = out.withColumn("matches", matcher(block)(out[text], out["matches"]))
+            if i < len(parts) - 1:  # only one block is with the driver and the tasks at a time
+                out = cut(out, "matches")
+                if held is not None:
+                    spent(held)
+                held = out
+        return out
+
+    return run
+
+
+def united(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """The spans in order, those that touch as one."""
+    out: list[dict[str, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(end, out[-1]["end"])
+        else:
+            out.append({"start": start, "end": end})
+    return out
 
 
 def digest(docs: DataFrame, items: DataFrame, **more: object) -> DataFrame:
