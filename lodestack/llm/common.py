@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,5 +116,26 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merged(partials: DataFrame, merge: Callable[[Iterator[bytes]], bytes], fan: int = 32) -> bytes | None:
+    """One blob from a column of blobs, or None of none: tasks merge about ``fan`` blobs each into one, level by level, until at most
+    ``fan`` are left for the driver. The blobs' size must not depend on the number of rows."""
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = (x for b in batches for x in b.column(0).to_pylist())
+        first = next(blobs, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([merge(chain([first], blobs))], pa.binary())], names=["blob"])
+
+    now = cut(partials.select("blob"), "partials")
+    while (n := now.count()) > fan:
+        last, now = now, cut(now.repartition(-(-n // fan)).mapInArrow(level, "blob binary"), "partials")
+        spent(last)
+    rest = (r["blob"] for r in now.toLocalIterator())
+    first = next(rest, None)
+    out = None if first is None else merge(chain([first], rest))
+    spent(now)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

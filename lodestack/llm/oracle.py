@@ -66,3 +66,27 @@ q AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER B
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
 FROM documents LEFT JOIN q USING (doc_id)
 """
+
+SQL["op11_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+w AS (SELECT d.*, first, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d JOIN f USING (t)),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS b
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, b, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY part, b),
+i AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT list_reduce(list_transform(o, lambda j: chr(CAST(64 + j AS INT))), lambda x, y: x || y) AS filter_order, k.i AS step, o[k.i] AS f, o[1:k.i - 1] AS earlier FROM o, i k),
+r AS (SELECT part, filter_order, step, f,
+  coalesce(sum(n) FILTER (len(list_filter(earlier, lambda j: b[j])) = 0 AND NOT b[f]), 0) AS kept,
+  coalesce(sum(n) FILTER (len(list_filter(earlier, lambda j: b[j])) = 0 AND b[f]), 0) AS removed,
+  coalesce(sum(n) FILTER (len(list_filter(earlier, lambda j: b[j])) > 0 AND b[f]), 0) AS redundant,
+  coalesce(sum(n) FILTER (b[f] AND len(list_filter(b, lambda y: y)) = 1), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (len(list_filter(earlier, lambda j: b[j])) = 0 AND b[f]), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (len(list_filter(earlier, lambda j: b[j])) = 0 AND b[f]), 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, license_scan, line_dedup, mixing, ngram_join, suffix_dedup, token_count, topk, toxicity
+from . import decontam, filter_audit, hmm, html_main, license_scan, line_dedup, mixing, ngram_join, suffix_dedup, token_count, topk, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_token_counts, op5_topk_search, op6_html_main_text, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_license_scan, op4_token_counts, op5_topk_search, op6_html_main_text, op7_ngram_jaccard, op8_mix_sources, op9_line_dedup, op10_decontaminate, op11_filter_audit, op12_whiten, op13_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
