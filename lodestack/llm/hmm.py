@@ -24,15 +24,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, merged, pack, slices, space_words, texts, unpack
+from .common import cut, merged, mix64, pack, space_words, texts, unpack
 
 FOLDS, HELD = 5, 1
 STATES, OWN, SHARED, ITERATIONS = 8, 1 << 15, 1 << 12, 6
@@ -47,6 +48,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == HELD
 
 
+def sized(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most about ``most`` bytes of text in its first column (a longer text stays whole)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy().astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 # --- vocabulary --------------------------------------------------------------------------------------------------------------
 
 
@@ -61,7 +73,7 @@ def vocabulary(train: DataFrame, text: str = "text") -> DataFrame:
             seen.clear()
             return got
 
-        for b in slices(batches, "text"):
+        for b in sized(batches):
             for t in texts(b.column(0)):
                 seen.update(space_words(t))
                 seen[END] += 1
@@ -72,27 +84,33 @@ def vocabulary(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(F.col(text).alias("text")).mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-class Classes(dict):
-    """token -> class: the frequent tokens by rank, the end behind them, then the shared classes."""
+class Classes:
+    """Classes of tokens: the frequent ones by rank, the end behind them, then the shared classes."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], shared: int) -> None:
-        words = [w for w, _ in frequent if w != END]
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.own, self.shared = len(words) + 1, shared
-        self[END] = self.own - 1
         known = dict(frequent)
-        self.counts = np.array([known[w] for w in words] + [known.get(END, 0)], np.int64)
-
-    def __missing__(self, w: bytes) -> int:
-        return self.own + xxhash.xxh3_64_intdigest(w[:2] + b" " + w[-2:]) % self.shared
-
-    def __reduce__(self) -> tuple:
-        items = sorted(((i, w) for w, i in self.items()))
-        return _classes, ([w for _, w in items], self.counts, self.shared)
-
-
-def _classes(words: list[bytes], counts: np.ndarray, shared: int) -> Classes:
-    return Classes(list(zip(words, counts.tolist(), strict=True)), shared)
+        words = [w for w, _ in frequent if w != END] + [END]
+        self.index = {w: i for i, w in enumerate(words)}
+        self.own, self.shared = len(words), shared
+        self.counts = np.array([known.get(w, 0) for w in words], np.int64)
+        self.kind = np.uint16 if self.own + shared <= 1 << 16 else np.int32
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' classes, and where those of shared classes stand."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(at < 0)
+        at[rare] = self.own + self.shared_class([words[i] for i in rare.tolist()])
+        return at, rare
+
+    def shared_class(self, words: list[bytes]) -> np.ndarray:
+        """A hash of each word's first two and last two bytes; none is empty."""
+        text = np.frombuffer(b"".join(words), np.uint8)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(n)
+        start = end - n
+        second, before = np.minimum(start + 1, end - 1), np.maximum(end - 2, start)
+        key = sum(text[i].astype(np.uint64) << np.uint64(8 * k) for k, i in enumerate((start, second, before, end - 1)))
+        return (mix64(key) % np.uint64(self.shared)).astype(np.int32)
 
 
 def shares(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +121,9 @@ def shares(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]
         k = sent.value
         n, v = np.zeros(k.shared, np.int64), np.zeros(k.shared, np.int64)
         for b in batches:
-            at = np.fromiter(map(k.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows) - k.own
-            c = b.column(1).to_numpy()[at >= 0]
-            np.add.at(n, at[at >= 0], c)
-            v += np.bincount(at[at >= 0], minlength=k.shared)
+            at, rare = k.of(b.column(0).to_pylist())
+            np.add.at(n, at[rare] - k.own, b.column(1).to_numpy()[rare])
+            v += np.bincount(at[rare] - k.own, minlength=k.shared)
         yield pa.RecordBatch.from_arrays([pa.array([pack(n, v)], pa.binary())], names=["blob"])
 
     def add(blobs: Iterator[bytes]) -> bytes:
@@ -121,20 +138,21 @@ def shares(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]
 
 
 def encoded(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(row, doc_id, held_out, classes, rare): a number of each row, its tokens' classes as packed int32, the words of shared classes."""
+    """(row, doc_id, held_out, classes, rare): a number of each row, its tokens' classes as bytes of whole numbers, the words of shared classes."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, row = sent.value, TaskContext.get().partitionId() << 40
-        for b in slices(batches, "text", 2 << 20):
-            blobs, rare = [], []
+        for b in sized(batches):
+            words, ends = [], []
             for t in texts(b.column(0)):
-                w = space_words(t)
-                w.append(END)
-                at = np.fromiter(map(k.__getitem__, w), np.int32, len(w))
-                blobs.append(pack(at))
-                rare.append([w[i] for i in np.flatnonzero(at >= k.own).tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(blobs)), pa.int64()), b.column(1), b.column(2), pa.array(blobs, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "held_out", "classes", "rare"])
+                words += space_words(t)
+                words.append(END)
+                ends.append(len(words))
+            at, rare = k.of(words)
+            blobs = [x.tobytes() for x in np.split(at.astype(k.kind), ends[:-1])]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, [0, *ends]), pa.int32()), pa.array([words[i] for i in rare.tolist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(blobs)), pa.int64()), b.column(1), b.column(2), pa.array(blobs, pa.binary()), lists], names=["row", "doc_id", "held_out", "classes", "rare"])
             row += len(blobs)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -164,12 +182,16 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.move, self.emit = start, move, emit  # (K), (K, K), (classes, K)
 
+    def single(self) -> Model:
+        """The same in single precision, enough for expected counts."""
+        return Model(*[x.astype(np.float32) for x in (self.start, self.move, self.emit)])
+
     def forward(self, seqs: Sequences, t0: int, t1: int, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Steps t0 to t1 from the scaled values before them (None: the start): the last values, all values if kept, and the scales."""
         low = seqs.begin[t0]
         e = self.emit[seqs.tokens[low : seqs.begin[t1]]]
         values = np.empty_like(e) if keep else None
-        scales = np.empty(len(e))
+        scales = np.empty(len(e), e.dtype)
         at, active, move = (seqs.begin[t0 : t1 + 1] - low).tolist(), seqs.active[t0:t1].tolist(), self.move
         for t in range(t1 - t0):
             i, j = at[t], at[t + 1]
@@ -205,7 +227,7 @@ class Expected:
         for t0 in range(0, seqs.longest - STEPS, STEPS):  # values at the blocks' ends
             a, _, _ = m.forward(seqs, t0, t0 + STEPS, a, False)
             ends.append(a)
-        pair = np.zeros_like(self.move)
+        pair = np.zeros(self.move.shape)
         carry = None  # of the step behind the block: emission * backward value / scale, for the sequences that have it
         for k in range(len(ends) - 1, -1, -1):
             t0, t1 = k * STEPS, min((k + 1) * STEPS, seqs.longest)
@@ -217,16 +239,17 @@ class Expected:
             for t in range(t1 - t0 - 1, -1, -1):
                 i, j = at[t], at[t + 1]
                 v = values[i:j]
-                b = np.ones_like(v)
-                if carry is not None:
+                carry_now = weighted[i:j]
+                if carry is not None:  # sequences that end here keep a backward value of one
                     n = len(carry)
                     pair += v[:n].T @ carry
-                    b[:n] = carry @ back
-                v *= b
-                carry = weighted[i:j] * b
+                    b = carry @ back
+                    v[:n] *= b
+                    carry_now[:n] *= b
+                carry = carry_now
             for s in range(self.emit.shape[1]):
                 self.emit[:, s] += np.bincount(tokens, values[:, s], minlength=len(self.emit))
-            self.fit += float(np.log(scales).sum())
+            self.fit += float(np.log(scales.astype(float)).sum())
             if not k and len(values):
                 self.start += values[: seqs.active[0]].sum(0)
         self.move += pair * m.move
@@ -265,10 +288,10 @@ def first_model(overall: np.ndarray, states: int, seed: int = 1) -> Model:
     return Model(np.full(states, 1.0 / states), move, emit)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[int], Sequences]]:
+def _grouped(batches: Iterator[pa.RecordBatch], column: int, kind: type) -> Iterator[tuple[pa.RecordBatch, list[int], Sequences]]:
     """Rows of each batch by falling length, in groups of at most about CHUNK tokens."""
     for b in batches:
-        parts = [unpack(x, np.int32)[0] for x in b.column(column).to_pylist()]
+        parts = [np.frombuffer(x, kind) for x in b.column(column).to_pylist()]
         order = np.argsort([-len(p) for p in parts], kind="stable").tolist()
         while order:
             n = held = 0
@@ -279,8 +302,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             order = order[n:]
 
 
-def train(rows: DataFrame, overall: np.ndarray, states: int, iterations: int) -> tuple[Model, list[float]]:
-    """Baum-Welch over a column of packed class numbers: the model, and the training log-likelihood before each round."""
+def train(rows: DataFrame, overall: np.ndarray, kind: type, states: int, iterations: int) -> tuple[Model, list[float]]:
+    """Baum-Welch over a column of class numbers of the type ``kind``: the model, and the training log-likelihood before each round."""
     sc = rows.sparkSession.sparkContext
     model, fits = first_model(overall, states), []
 
@@ -291,11 +314,11 @@ def train(rows: DataFrame, overall: np.ndarray, states: int, iterations: int) ->
         return total.pack()
 
     for _ in range(iterations):
-        sent = sc.broadcast(model)
+        sent = sc.broadcast(model.single())
 
         def expect(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
             m, got, any_ = sent.value, Expected(states, len(overall)), False
-            for _, _, seqs in _grouped(batches, 0):
+            for _, _, seqs in _grouped(batches, 0, kind):
                 got.add(m, seqs)
                 any_ = True
             if any_:
@@ -327,7 +350,7 @@ def fitted(docs: DataFrame, *, states: int = STATES, own: int = OWN, shared: int
     overall = np.concatenate([classes.counts, tokens]) + 0.5
     overall = overall / overall.sum()
     rows = cut(encoded(docs, classes), "encoded")
-    model, fits = train(rows.where(~F.col("held_out")), overall, states, iterations)
+    model, fits = train(rows.where(~F.col("held_out")), overall, classes.kind, states, iterations)
     return counts, rows, classes, model, {"n": int(size["n"]), "v": int(size["v"]), "tokens": tokens, "distinct": distinct, "fits": fits}
 
 
@@ -340,13 +363,13 @@ def digest(docs: DataFrame, **more: int) -> DataFrame:
     logs = np.concatenate([np.log10(classes.counts + 0.5), np.zeros(classes.shared)])
     within = np.concatenate([np.zeros(own), -np.log10(stats["tokens"] + 0.5 * (stats["distinct"] + 1))])
     known = np.concatenate([classes.counts > 0, np.zeros(classes.shared, bool)])
-    sent = spark.sparkContext.broadcast((model, logs, within, known))
+    kind, sent = classes.kind, spark.sparkContext.broadcast((model, logs, within, known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lg, wi, kn = sent.value
-        for b, at, seqs in _grouped(batches, 3):
+        for b, at, seqs in _grouped(batches, 3, kind):
             paths = m.log_likelihoods(seqs) / np.log(10)
-            own_parts = [unpack(b.column(3)[i].as_py(), np.int32)[0] for i in at]
+            own_parts = [np.frombuffer(b.column(3)[i].as_py(), kind) for i in at]
             got = b.take(pa.array(at, pa.int64()))
             numbers = [[len(p) for p in own_parts], [int(kn[p].sum()) for p in own_parts]]
             sums = [[float(lg[p].sum()) for p in own_parts], [float(x + wi[p].sum()) for x, p in zip(paths.tolist(), own_parts, strict=True)]]

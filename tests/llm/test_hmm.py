@@ -115,7 +115,7 @@ def test_score_is_the_forward_sum(spark):
     got = {r["doc_id"]: r["score"] for r in hmm.digest(df, own=3, shared=2, states=2, iterations=3).collect()}
     for i, t in rows:
         w = [*(x.encode() for x in words(t)), END]
-        k = [classes[x] for x in w]
+        k = classes.of(w)[0].tolist()
         want = log10(path_sums(model, k)[0])
         for x, j in zip(w, k, strict=True):
             if j >= classes.own:
@@ -150,9 +150,20 @@ def test_empty_and_all_held_out(spark):
     assert all(r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in got.values())
 
 
-def test_classes_survive_pickling():
-    import pickle
-
+def test_classes():
     k = Classes([(b"the", 5), (END, 3), (b"of", 2)], 7)
-    again = pickle.loads(pickle.dumps(k))
-    assert (dict(again), again.own, again.counts.tolist()) == (dict(k), 3, [5, 2, 3]) and again[b"zebra"] == k[b"zebra"] >= 3
+    words = [b"of", b"zebra", END, b"the", b"x", b"zbra"]
+    at, rare = k.of(words)
+    assert at[[0, 2, 3]].tolist() == [1, 2, 0] and k.counts.tolist() == [5, 2, 3] and rare.tolist() == [1, 4, 5]
+    assert 3 <= at[rare].min() and at[rare].max() < 10 and k.of([b"zebra", b"ze--ra"])[0].tolist() == [at[1]] * 2
+
+
+def test_single_precision_counts():
+    rng = np.random.default_rng(3)
+    m = random_model(rng, 4, 50)
+    seqs = Sequences([rng.integers(0, 50, n).astype(np.int32) for n in (2000, 30, 400)])
+    exact, single = Expected(4, 50), Expected(4, 50)
+    exact.add(m, seqs)
+    single.add(m.single(), seqs)
+    np.testing.assert_allclose(single.emit, exact.emit, rtol=1e-3, atol=1e-3)
+    assert single.fit == pytest.approx(exact.fit, rel=1e-5)
