@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name, tunnel_ends
+from .storage import shared_folder
 
 ENTITY = "name string, entity_type string, description string, source_chunks array<string>"
 RELATION = "source string, target string, relation_type string, description string, weight double, source_chunks array<string>"
@@ -112,10 +113,10 @@ def top_types(entities: DataFrame, k: int = 8, kind: str = "entity_type") -> Dat
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder: the plan behind them ends there. A folder of our own only where none is set."""
+    """The rows as a checkpoint in the shared folder: the plan behind them ends there."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

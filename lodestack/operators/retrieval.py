@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,44 +55,82 @@ def cosine(v: Column, query: Sequence[float]) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(v, q) / norm)
 
 
+def usable(vector: str = "vector") -> Column:
+    """Vectors that have a direction: not null, all components finite, not all zero."""
+    v = F.col(vector)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return v.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(v, lambda x: x != 0)
+
+
 def dense_search(vectors: DataFrame, query: Sequence[float], k: int | None, threshold: float | None = None, vector: str = "vector", key: str = "id", digits: int | None = None) -> DataFrame:
-    """The k best rows, or with k None all rows that reach the threshold."""
-    scored = vectors.withColumn("score", cosine(F.col(vector), query))
+    """The k best rows, or with k None all rows that reach the threshold. Rows whose vector is null or holds null or non-finite components take no part."""
+    v = F.col(vector)
+    fine = vectors.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))))
+    scored = fine.withColumn("score", cosine(v, query))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return top_k(scored, k, key=key, digits=digits)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Best:
+    """The k best (score, id) of each of n queries among what was added, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.held: list[list[tuple[float, object]]] = [[] for _ in range(n)]
+
+    def add(self, queries: Sequence[int], ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each of the queries, a column for each id."""
+        for i, s in zip(queries, scores, strict=True):
+            edge = max(self.least[i], np.partition(s, -self.k)[-self.k] if len(s) > self.k else -np.inf)
+            at = np.flatnonzero(s >= edge)
+            if len(at):
+                held = sorted([*self.held[i], *zip(s[at].tolist(), ids[at].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[: self.k]
+                self.held[i] = held
+                if len(held) == self.k:
+                    self.least[i] = held[-1][0]
+
+    def batch(self, names: Sequence[object], schema: pa.Schema) -> pa.RecordBatch:
+        """(query, id, score) of all that is held."""
+        rows = [(name, i, s) for name, held in zip(names, self.held, strict=True) for s, i in held]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+
 def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", query_key: str = "query_id", digits: int = 6, most: int = 10_000) -> DataFrame:
-    """Cosine top k of many query vectors: each task scores its rows in one matrix product and sends its k best of each query.
+    """Cosine top k of many query vectors: each task scores its rows in matrix products, batch by batch, and sends its k best of each query.
 
-    The queries are broadcast; more than ``most`` run in several rounds."""
+    Vectors that are null, hold null or non-finite components or are all zero take no part, as rows or as queries. The queries are broadcast; more than ``most`` run in several rounds."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    vectors, queries = vectors.where(usable(vector)), queries.where(usable(vector))
     sc, total = vectors.sparkSession.sparkContext, queries.count()
     rounds = max(1, -(-total // most))
+    types = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    schema = pa.schema([(query_key, to_arrow_type(types[query_key])), (key, to_arrow_type(types[key])), ("score", pa.float64())])
     out = None
     for r in range(rounds):
         part = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(rounds)) == r)
         rows = part.select(query_key, vector).collect()
-        q = np.array([x[vector] for x in rows], float).reshape(len(rows), -1)
-        sent = sc.broadcast((np.array([x[query_key] for x in rows], dtype=object), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, unit = sent.value
-            for p in parts:
-                if not len(p) or not len(names):
-                    continue
-                x = np.stack(p[vector].to_numpy()).astype(float)
-                s = np.round(unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits)
-                ids = p[key].to_numpy()
-                for i, name in enumerate(names):
-                    # all that tie with the k-th are ordered by key before the cut
-                    edge = np.partition(s[i], -k)[-k] if len(ids) > k else -np.inf
-                    at = np.flatnonzero(s[i] >= edge)
-                    at = at[np.lexsort((ids[at], -s[i, at]))][:k]
-                    yield pd.DataFrame({query_key: [name] * len(at), key: ids[at], "score": s[i, at]})
-
-        types = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
-        found = vectors.select(key, vector).mapInPandas(best, f"{query_key} {types[query_key]}, {key} {types[key]}, score double")
+        sent = sc.broadcast(([x[query_key] for x in rows], unit(np.array([x[vector] for x in rows], float).reshape(len(rows), -1))))
+
+        def best(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            held = Best(len(names), k)
+            for b in batches:
+                if b.num_rows and names:
+                    held.add(range(len(names)), b.column(0).to_numpy(zero_copy_only=False), np.round(q @ unit(matrix(b.column(1))).T, digits))
+            yield held.batch(names, schema)
+
+        found = vectors.select(key, vector).mapInArrow(best, f"{query_key} {types[query_key].simpleString()}, {key} {types[key].simpleString()}, score double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -38,23 +38,37 @@ def role_of(v: object) -> str:
     return r if r in ROLES else "unknown"
 
 
-def parse(payload: str, form: str) -> list[dict]:
-    """Messages of an export: 'openai' and 'claude' are arrays of messages, 'jsonl' has one a line and numbers them by physical line. Malformed input is an error."""
+def parse(payload: str | None, form: str) -> list[dict]:
+    """Messages of an export: 'openai' and 'claude' are arrays of messages, 'jsonl' has one a line and numbers them by physical line. A null
+    payload has none; anything else that is not JSON of that form is a ValueError."""
+    if payload is None:
+        return []
     if form == "jsonl":
         items = [(n, json.loads(x)) for n, x in enumerate(payload.split("\n")) if x.strip()]
     else:
-        items = list(enumerate(json.loads(payload)))
+        whole = json.loads(payload)
+        if not isinstance(whole, list):
+            raise ValueError("an export is not an array of messages")
+        items = list(enumerate(whole))
+    if bad := [n for n, m in items if not isinstance(m, dict)]:
+        raise ValueError(f"message {bad[0]} is not an object")
     return [{"role": role_of(m.get("role")), "content": flatten(m.get("content")), "turn_index": n} for n, m in items]
 
 
 def parsed(exports: DataFrame) -> DataFrame:
-    """(source_id, role, content, turn_index) of exports (source_id, format, payload)."""
+    """(source_id, role, content, turn_index) of exports (source_id, format, payload); a malformed one is an error that names its source."""
 
     @F.pandas_udf(f"array<struct<{MESSAGES.replace(' ', ':').replace(',:', ',')}>>")
-    def run(payload: pd.Series, form: pd.Series) -> pd.Series:
-        return pd.Series([parse(p, f) for p, f in zip(payload, form, strict=True)])
-
-    return exports.select("source_id", F.explode(run("payload", "format")).alias("m")).select("source_id", "m.*")
+    def run(source: pd.Series, payload: pd.Series, form: pd.Series) -> pd.Series:
+        out = []
+        for s, p, f in zip(source, payload, form, strict=True):
+            try:
+                out.append(parse(p, f))
+            except ValueError as e:
+                raise ValueError(f"malformed export {s}: {e}") from e
+        return pd.Series(out)
+
+    return exports.select("source_id", F.explode(run("source_id", "payload", "format")).alias("m")).select("source_id", "m.*")
 
 
 def motifs(messages: DataFrame, least: int = MIN_OCCURRENCES, min_confidence: int = 0, role: str = "role", text: str = "content", turn: str = "turn_index") -> DataFrame:

@@ -136,8 +136,7 @@ f AS (SELECT id, len(tk) AS n, len(list_filter(tk, lambda x: x = 'ring')) AS f0,
 s AS (SELECT count(*) AS c, avg(n) AS a, sum((f0 > 0)::INT) AS d0, sum((f1 > 0)::INT) AS d1 FROM f)
 SELECT id FROM f, s WHERE f0 > 0 AND f1 > 0""")
 def catalog_fts(spark: SparkSession, sf: str) -> DataFrame:
-    tools = _tools(spark, sf)
-    return catalog.search(tools, "Small ring", tools.count()).select("id")
+    return catalog.search(_tools(spark, sf), "Small ring", None).select("id")
 
 
 @register("SELECT p_partkey AS id, trim(p_type || '  ' || p_brand || ' ' || p_type) AS embedding_text FROM part")

@@ -29,10 +29,24 @@ def debounced(batch: DataFrame, key: str = "path", version: str = "version") ->
 
 
 def apply_changes(table: DataFrame, batch: DataFrame, key: str = "path", version: str = "version") -> DataFrame:
-    """The table after a batch: upserts replace, removals delete, older versions than the table's change nothing."""
+    """The table after a batch: upserts replace, removals delete, older versions than the table's change nothing.
+
+    Where the table has a boolean column ``deleted``, removed rows stay in it as tombstones with their version, so that an older upsert that
+    comes in a later batch doesn't bring them back (``present`` leaves them out); without it removals are forgotten."""
     last = debounced(batch, key, version)
-    both = table.withColumn("op", F.lit("upsert")).unionByName(last.select(*table.columns, "op"), allowMissingColumns=True)
-    return latest(both, [key], F.col(version).desc(), (F.col("op") == "remove").desc()).where("op <> 'remove'").drop("op")
+    kept = "deleted" in table.columns
+    op = F.when(F.coalesce("deleted", F.lit(False)), "remove").otherwise("upsert") if kept else F.lit("upsert")
+    rest = [c for c in table.columns if c != "deleted"]
+    both = table.withColumn("op", op).select(*rest, "op").unionByName(last.select(*rest, "op"))
+    now = latest(both, [key], F.col(version).desc(), (F.col("op") == "remove").desc())
+    if kept:
+        return now.withColumn("deleted", F.col("op") == "remove").select(table.columns)
+    return now.where("op <> 'remove'").drop("op")
+
+
+def present(table: DataFrame) -> DataFrame:
+    """The rows of a table with tombstones that are not removed."""
+    return table.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
 
 
 def follow(changes: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, key: str = "path") -> DataStreamWriter:

@@ -138,3 +138,16 @@ def test_quality(spark):
     f = spark.createDataFrame([(1, 1), (2, 4), (3, None)], "query_id int, rank int")
     q = evaluation.quality(f).first()
     assert (round(q.recall_1, 3), round(q.recall_5, 3), round(q.mrr, 4)) == (0.333, 0.667, 0.4167)
+
+
+def test_exports_that_are_null_or_malformed(spark):
+    import pytest
+
+    from lodestack.operators import transcripts
+
+    kind = "source_id string, format string, payload string"
+    fine = spark.createDataFrame([("a", "jsonl", None), ("b", "openai", '[{"role": "user", "content": 5}]')], kind)
+    assert [(r["source_id"], r["content"]) for r in transcripts.parsed(fine).collect()] == [("b", "5")]
+    for form, payload in (("jsonl", "7"), ("openai", '{"role": "user"}'), ("claude", "[1]"), ("jsonl", "{")):
+        with pytest.raises(Exception, match="malformed export s1"):
+            transcripts.parsed(spark.createDataFrame([("s1", form, payload)], kind)).collect()
