@@ -429,14 +429,19 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
     return known, roots
 
 
-def near_copies(docs: DataFrame, **more: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; component_id is the least id that links reach."""
-    known, roots = links(docs, **more)
+def _of_sets(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sid, component_id) of every set that is not empty."""
     sid = known.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = sid.join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid"))
     top = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only sets whose component starts elsewhere than at their own least document need the second join.
-    of_set = named.join(top, "root").select("sid", "component_id")
+    return named.join(top, "root").select("sid", "component_id")
+
+
+def near_copies(docs: DataFrame, **more: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; component_id is the least id that links reach."""
+    known, roots = links(docs, **more)
+    of_set = _of_sets(known, roots)
     linked = known.where("n > 0").join(of_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = known.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), _count_only(more.get("size", SHINGLE))("text").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -452,9 +457,32 @@ def _count_only(size: int) -> Callable[[str], F.Column]:
     return count
 
 
+def _set_ids(size: int) -> Callable[[str], F.Column]:
+    @F.arrow_udf("binary")
+    def name(column: pa.Array) -> pa.Array:
+        hashes = WordHash()
+        return pa.array([set_id(shingles(space_words(t), size, hashes)) for t in texts(column)], pa.binary())
+
+    return name
+
+
 def representatives(docs: DataFrame, **more: int) -> DataFrame:
-    """The documents without those whose component starts at a smaller id; columns unchanged. Rows with a null id stay, and of rows
-    that share an id and a component all do."""
+    """The documents without those whose component starts at a smaller id; columns unchanged. Rows with a null id stay. Rows that share an
+    id are judged each by its own text: those of one text share their fate, and one that links with nothing stays."""
     names = docs.columns
-    found = near_copies(docs.select("doc_id", "text"), **more).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["gone"], "left_anti").select(*[docs[f"`{c}`"] for c in names])
+    known, roots = links(docs.select("doc_id", "text"), **more)
+    named = known.where("n > 0").join(_of_sets(known, roots), "sid")
+    found = cut(named.where("component_id <> doc_id").select(F.col("doc_id").alias("gone"), F.col("sid").alias("gone_sid")).distinct(), "gone")
+    several = cut(known.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select(F.col("doc_id").alias("several")), "several")
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.select(*[df[f"`{c}`"] for c in names])
+
+    if several.isEmpty():
+        return own(docs.join(found, docs["doc_id"] == found["gone"], "left_anti"))
+    # Ids with rows of different sets: only their texts are read again, and rows go by id and set.
+    once = docs.join(several, docs["doc_id"] == several["several"], "left_anti")
+    kept = own(once.join(found, once["doc_id"] == found["gone"], "left_anti"))
+    mixed = docs.join(several, docs["doc_id"] == several["several"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), _set_ids(more.get("size", SHINGLE))("text").alias("sid"))
+    rest = mixed.join(found, (F.col("id") == F.col("gone")) & (F.col("sid") == F.col("gone_sid")), "left_anti")
+    return kept.unionByName(rest.select(*[F.col(f"row.`{c}`") for c in names]))

@@ -192,13 +192,14 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most about ``most`` labelled rows outside of the held-out fold."""
+    """(text, toxic) of at most about ``most`` labelled documents outside of the held-out fold; of rows that share an id the one with the least text."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
-    return docs.where(fold() != 0).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # about ``most`` rows at most
+    taken = docs.where(fold() != 0).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about ``most`` ids at most
+    return taken.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _stem_counts(sample: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int, int]:

@@ -99,3 +99,17 @@ def test_group_bound_never_loses_a_link():
             same = len(np.intersect1d(sets[i], sets[j]))
             if 180 * same >= 80 * (len(sets[i]) + len(sets[j])):
                 assert label[i] == label[j]
+
+
+def test_rows_that_share_an_id_are_judged_each(spark, docs_of):
+    """An unrelated row of an id stays although another row of that id goes."""
+    from lodestack.llm.ngram_join import representatives
+
+    a = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, other), (2, other), (2, None), (3, a + " w40"), (4, other), (None, a), (5, "")]
+    got = representatives(docs_of(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, a), (2, other), (2, other), (2, ""), (0, a), (5, "")])
+    assert got[0].asDict().keys() == docs_of(rows).first().asDict().keys()
+    plain = representatives(docs_of([(1, a), (2, a), (3, other)])).collect()
+    assert {r["doc_id"] for r in plain} == {1, 3}

@@ -52,3 +52,12 @@ def test_correlated_voters_share_their_votes():
     post, info = tox.label_model(tox.Votes(rows, 3), y.astype(float))
     assert abs(info["share"][0] - 0.5) < 0.1 and info["share"][2] > 0.8
     assert ((post > 0.5) == y).mean() > 0.9
+
+
+def test_a_repeated_id_does_not_flood_the_sample(spark, docs_of):
+    from lodestack.llm import toxicity
+
+    rows = [(3, f"text {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(4, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 60)], "doc_id long, toxic int")
+    got = toxicity._sample(docs_of(rows), labels, 20_000).collect()
+    assert len(got) <= 57 and len([r for r in got if r["text"].startswith("text")]) <= 1
