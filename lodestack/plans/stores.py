@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import ann, chunking, fts_index, retrieval, sparse, storage, websearch
+from ..operators import ann, chunking, fts_index, modes, retrieval, sparse, storage, websearch
 from ..streaming import flows, watch
 from .queries import _docs, _vectors, register, table
 
@@ -184,3 +184,34 @@ def watched_rechunk(spark: SparkSession, sf: str) -> DataFrame:
     second = p.where("page_id % 2 = 1 or page_id % 5 = 0").select("path", F.when(F.col("page_id") % 5 == 0, "remove").otherwise("upsert").alias("op"))
     watch.rechunk(second, chunks, lambda paths: paths.withColumn("content", F.lit("second")))
     return chunks.read().select("source_path", "content")
+
+
+# --- hybrid mode -------------------------------------------------------------------------------------------------------------
+
+
+@register("""
+WITH q AS (SELECT n_nationkey AS query_id, lower(n_name) AS w, embedding::DOUBLE[] AS v FROM nation LEFT JOIN embeddings ON vec_id = n_nationkey),
+e AS (SELECT lower(n_name) AS name, n_nationkey AS chunk FROM nation UNION ALL SELECT lower(s_name), 100 + s_suppkey FROM supplier),
+r AS (SELECT lower(s_name) AS a, lower(n_name) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+b AS (SELECT query_id, name, greatest(1.0 - 0.1 * (row_number() OVER (PARTITION BY query_id ORDER BY (name <> w)::INT, name) - 1), 0.1) AS base FROM q, (SELECT DISTINCT name FROM e) WHERE contains(name, w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (name <> w)::INT, name) <= 10),
+s AS (SELECT a AS name, b AS other FROM r UNION SELECT b, a FROM r),
+t AS (SELECT * FROM b UNION ALL SELECT query_id, other, base * 0.8 FROM b JOIN s USING (name)),
+sim AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v), 9) DESC, vec_id) AS rank FROM q, embeddings WHERE v IS NOT NULL),
+p AS (SELECT query_id, s_suppkey, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM q, supplier JOIN embeddings ON vec_id = 100 + s_suppkey WHERE v IS NOT NULL),
+p5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s_suppkey) - 1 AS rank FROM p QUALIFY rank < 5),
+h AS (SELECT query_id, chunk AS id, base AS score FROM t JOIN e USING (name) UNION ALL SELECT query_id, 100 + s_suppkey, score * greatest(1.0 - 0.1 * rank, 0.1) FROM p5 WHERE score >= 0),
+m AS (SELECT query_id, id, round(max(score), 9) AS score FROM h GROUP BY ALL),
+g AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+d AS (SELECT * FROM sim WHERE rank <= 20 AND score >= 0.1),
+f AS (SELECT coalesce(d.query_id, g.query_id) AS query_id, coalesce(d.id, g.id) AS id, round(CASE WHEN d.score IS NULL THEN g.score WHEN g.score IS NULL THEN d.score ELSE d.score + 0.3 * g.score END, 12) AS score,
+  CASE WHEN g.score IS NULL THEN 'dense' WHEN d.score IS NULL THEN 'graph' ELSE 'both' END AS legs FROM d FULL JOIN g ON d.query_id = g.query_id AND d.id = g.id)
+SELECT query_id, id, score, legs, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """Each nation asked by its name and the vector of its number: vectors are the chunks, nations and suppliers the graph, suppliers' vectors the semantic leg."""
+    n, s, v = table(spark, sf, "nation"), table(spark, sf, "supplier"), _vectors(spark, sf).select("id", "vector")
+    asked = n.join(v, F.col("n_nationkey") == F.col("id"), "left").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("text"), "vector")
+    chunk = (F.lit(100) + F.col("s_suppkey")).cast("long")
+    entities = n.select(F.col("n_name").alias("name"), F.array(F.col("n_nationkey").cast("long")).alias("source_chunks")).unionByName(s.select(F.col("s_name").alias("name"), F.array(chunk).alias("source_chunks")))
+    relations = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))
+    points = s.select(chunk.alias("chunk"), F.col("s_suppkey").cast("long").alias("supplier")).join(v, F.col("chunk") == F.col("id")).select(F.col("supplier").alias("id"), "vector", F.array("chunk").alias("source_chunks"))
+    return modes.hybrid(asked, v, entities, relations, 10, entity_points=points, threshold=0.1, digits=12)
