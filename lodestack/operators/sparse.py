@@ -14,16 +14,23 @@ from ..functions.text import saturate
 K1, B = 1.2, 0.75
 
 
-def _frequencies(rows: DataFrame, tokens: Column, key: str) -> DataFrame:
+def dimensions(texts: DataFrame, tokens: Column) -> DataFrame:
+    """(dim): the distinct dimensions of some texts."""
+    return texts.select(F.explode(F.array_distinct(tokens)).alias("t")).select(F.xxhash64("t").alias("dim")).distinct()
+
+
+def _frequencies(rows: DataFrame, tokens: Column, key: str, dims: DataFrame | None) -> DataFrame:
     """(key, len, dim, tf); texts without tokens have no row."""
     tk = rows.select(key, tokens.alias("tk")).where("size(tk) > 0")
-    return tk.select(key, F.size("tk").alias("len"), F.explode("tk").alias("t")).groupBy(key, "len", F.xxhash64("t").alias("dim")).agg(F.count("*").alias("tf"))
+    each = tk.select(key, F.size("tk").alias("len"), F.explode("tk").alias("t")).select(key, "len", F.xxhash64("t").alias("dim"))
+    return (each if dims is None else each.join(dims, "dim", "left_semi")).groupBy(key, "len", "dim").agg(F.count("*").alias("tf"))
 
 
-def documents(docs: DataFrame, tokens: Column, key: str = "id") -> DataFrame:
-    """(key, dim, weight) of texts; lengths count against the average of all texts, those without tokens too."""
+def documents(docs: DataFrame, tokens: Column, key: str = "id", dims: DataFrame | None = None) -> DataFrame:
+    """(key, dim, weight) of texts; lengths count against the average of all texts, those without tokens too. With ``dims`` only postings of those
+    dimensions, dropped before anything is shuffled where their table is small enough to be broadcast."""
     average = docs.agg(F.avg(F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0)))).first()[0] or 1.0
-    f = _frequencies(docs, tokens, key)
+    f = _frequencies(docs, tokens, key, dims)
     return f.select(key, "dim", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))).alias("weight"))
 
 
