@@ -97,8 +97,8 @@ s AS (SELECT query_id, id, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a
 def _sparse_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     docs, tokens = _docs(spark, sf), t.fts_tokens("content")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    vectors = sparse.documents(docs, tokens, dims=sparse.dimensions(items, tokens))
-    return sparse.search(vectors, sparse.queries(items, tokens, sparse.inverse(vectors, docs.count())), k, digits=6)
+    asked = sparse.queries(items, tokens, sparse.inverse_of(docs, tokens, sparse.dimensions(items, tokens)))
+    return sparse.scan(docs, tokens, asked, k)
 
 
 @register(f"WITH {_SPARSE} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10")

@@ -80,6 +80,10 @@ def test_sparse_is_bm25(spark):
     for i, text in ((1, "b a"), (3, "c")):
         assert got[i] == [(r["id"], r["score"]) for r in retrieval.bm25(filled, text, 10, tokens, every=False, digits=6).collect()]
     assert set(got) == {1, 3}
+    dims = sparse.dimensions(spark.createDataFrame([("b a zzz c",)], "content string"), tokens)
+    assert {r["dim"]: round(r["idf"], 9) for r in sparse.inverse_of(docs, tokens, dims).collect()}.items() <= {r["dim"]: round(r["idf"], 9) for r in sparse.inverse(vectors, docs.count()).collect()}.items()
+    assert hits(sparse.scan(docs, tokens, asked, 10)) == got and hits(sparse.scan(docs, tokens, asked.where("false"), 10)) == {}
+    assert hits(sparse.scan(docs, tokens, asked, 2)) == hits(sparse.search(vectors, asked, 2, digits=6))
     assert all(len(v) <= 2 for v in hits(sparse.search(vectors, asked, 2)).values())
 
 
