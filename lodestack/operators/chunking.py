@@ -363,6 +363,27 @@ def doc_section(content: str, title: str) -> str:
     return "\n".join(out)
 
 
+def sections(docs: DataFrame, wanted: DataFrame, most: int | None = None, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, title, section) of the wanted (path, title): from the first exact heading to the next one of the same or a higher level, in at most
+    ``most`` bytes; headings of the same title before that are part of it and set its level. Documents without the heading give no row.
+
+    A heading is # signs, a space and a title, indented or not, in code fences as well. Lines carry their state in windows over (path, title) that run in
+    line order and spill, and only lines that are returned meet in a row."""
+    d, w = docs.alias("d"), wanted.select(path, "title").distinct().alias("w")
+    asked = w.join(d, F.col(f"w.{path}") == F.col(f"d.{path}")).select(f"w.{path}", "w.title", F.posexplode(F.split(F.regexp_replace(F.col(f"d.{content}"), r"\r?\n\z", ""), "\\r?\\n")).alias("n", "line"))
+    signs, name = F.regexp_extract("line", r"^\s*(#+)(?: |$)", 1), F.trim(F.regexp_extract("line", r"^\s*#+ (.*)$", 1))
+    level = F.when((signs != "") & (name != ""), F.length(signs))
+    run = Window.partitionBy(path, "title").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = asked.withColumn("level", level).withColumn("own", F.coalesce(F.col("level").isNotNull() & (name == F.col("title")), F.lit(False)))
+    now = now.withColumn("at", F.last(F.when(F.col("own"), F.col("level")), ignorenulls=True).over(run))
+    ends = F.coalesce(~F.col("own") & (F.col("level") <= F.col("at")), F.lit(False))
+    now = now.withColumn("ended", F.max(ends).over(run)).where(F.col("at").isNotNull() & ~F.col("ended"))
+    if most is not None:  # lines that begin, or whose line end before them lies, within the bytes
+        now = now.withColumn("bytes", F.sum(F.octet_length("line") + 1).over(run)).where(F.col("bytes") - F.octet_length("line") - 1 <= most)
+    out = now.groupBy(path, "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("section"))
+    return out if most is None else out.withColumn("section", cut_bytes(F.col("section"), most))
+
+
 def cut_bytes(c: Column, most: int) -> Column:
     """At most ``most`` bytes, cut at a character."""
     return F.when(F.octet_length(c) <= most, c).otherwise(_cut_udf(most)(c))

@@ -5,6 +5,8 @@ rows qualify."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -181,6 +183,53 @@ def rerank(hits: DataFrame, scorer: Column | None, k: int, key: str = "id") -> D
     return top_k(hits if scorer is None else hits.withColumn("score", scorer), k, key=key)
 
 
+def late_interaction(query: str, text: str) -> float | None:
+    """The offline pair scorer: for each distinct word of the query the closest word of the text, by the share of letters that they begin with in
+    common, on the average. None without words on either side."""
+    words = [sorted(set(re.findall(r"[^\W_]+", x.lower()))) for x in (query, text)]
+    if not words[0] or not words[1]:
+        return None
+    return sum(_closest(a, words[1]) for a in words[0]) / len(words[0])
+
+
+def _closest(a: str, words: list[str]) -> float:
+    """The largest share of common first letters; only words of the same first letter, which stand together, can have any."""
+    best = 0.0
+    for b in words[bisect_left(words, a[0]) : bisect_left(words, chr(ord(a[0]) + 1))]:
+        n = min(len(a), len(b))
+        if n > best * max(len(a), len(b)):
+            best = max(best, next((i for i in range(n) if a[i] != b[i]), n) / max(len(a), len(b)))
+    return best
+
+
+def rerank_batch(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, scorer: Callable[[str, str], float | None] = late_interaction, key: str = "id", query_key: str = "query_id", digits: int = 6) -> DataFrame:
+    """(query, id, score, rank) of many queries' hits after a scorer of (query text, chunk text), in Arrow batches; the best k of each query.
+
+    Fetch ``candidates(k)`` hits a query before. A pair that the scorer can't score (None, NaN, a ValueError) keeps its old score, as does
+    one whose text is missing. Only chunks that are hits are read into the scorer."""
+
+    @F.pandas_udf("double")
+    def run(asked: pd.Series, texts: pd.Series, old: pd.Series) -> pd.Series:
+        def one(q: str | None, t: str | None, s: float) -> float:
+            try:
+                x = None if q is None or t is None else scorer(q, t)
+            except ValueError:
+                x = None
+            return s if x is None or x != x else round(x, digits)
+
+        return pd.Series([one(*row) for row in zip(asked, texts, old, strict=True)], dtype=float)
+
+    pairs = hits.select(query_key, key, F.col("score").cast("double").alias("score")).join(queries.select(query_key, F.col("text").alias("_asked")), query_key).join(chunks.select(key, F.col("content").alias("_content")), key, "left")
+    scored = pairs.withColumn("score", run("_asked", "_content", "score")).select(query_key, key, "score")
+    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def candidates(k: int) -> int:
+    """How many hits to fetch for a rerank to k."""
+    return max(3 * k, 10)
+
+
 def token_overlap(content: str, query: str) -> Column:
     """The offline scorer: share of the query's distinct words in the text's words."""
     q = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))])
@@ -249,8 +298,6 @@ def embedded(df: DataFrame, text: str, vector: str = "vector", dims: int = 1024,
 
 def bm25(docs: DataFrame, query: str, k: int, tokens: Column, key: str = "id", k1: float = 1.2, b: float = 0.75, every: bool = True, digits: int | None = None) -> DataFrame:
     """BM25 of the query's distinct tokens; with ``every`` a row must hold them all. Statistics come from one pass over all rows."""
-    import re
-
     terms = sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
     rows = docs.select(key, tokens.alias("tk")).select(key, F.size("tk").alias("len"), *[(F.size("tk") - F.size(F.array_remove("tk", t))).alias(f"f{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(terms))]).first()

@@ -123,6 +123,41 @@ def page_at(df: DataFrame, table: str, limit: int, offset: int) -> DataFrame:
     return df.orderBy(*order_columns(table)).offset(offset).limit(limit)
 
 
+def _after(order: Sequence[tuple[str, bool]], values: Sequence[str | None], types: dict[str, str]) -> Column:
+    """A filter for rows behind the given order values (not true for others, so that it can be pushed down): equal in the first columns and behind in the next one. Nulls come first in rising order, last in falling."""
+    out, same = F.lit(False), F.lit(True)
+    for (c, up), v in zip(order, values, strict=True):
+        x, have = F.lit(v).cast(types[c]), F.col(c)
+        if v is None:
+            behind = have.isNotNull() if up else F.lit(False)
+        else:
+            behind = have > x if up else (have < x) | have.isNull()
+        out = out | (same & behind)
+        same = same & have.eqNullSafe(x)
+    return out
+
+
+def seek(df: DataFrame, table: str, limit: int = 0, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """One page and the cursor of the next one (None after the last) by the order values of the page's last row: a filter that reaches the scan
+    instead of rows that are sorted and dropped, so page n costs what the first one does, and rows that come in before it don't shift it.
+
+    The table's order must end in a key. Offset cursors of ``page`` are refused, as are malformed ones."""
+    n, order, types = page_size(table, limit), ORDERS[table], dict(df.dtypes)
+    if cursor:
+        try:
+            values = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))["k"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError("malformed cursor") from e
+        if not isinstance(values, list) or len(values) != len(order) or not all(v is None or isinstance(v, str) for v in values):
+            raise ValueError("malformed cursor")
+        df = df.where(_after(order, values, types))
+    rows = df.orderBy(*order_columns(table)).limit(n + 1)
+    keys = rows.select(*[F.col(c).cast("string") for c, _ in order]).collect()  # at most a page
+    more = len(keys) > n
+    at = base64.urlsafe_b64encode(json.dumps({"k": list(keys[n - 1])}, separators=(",", ":")).encode()).decode().rstrip("=") if more else None
+    return rows.limit(n), at
+
+
 # --- filters -----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,0 +1,60 @@
+"""Registered queries over extraction with gleaning, reranking of many queries, sections of documents and pages by key, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import chunking, extraction, retrieval, state, storage
+from .queries import _docs, register, table
+from .stores import _SPARSE, _TK, _sparse_hits
+
+
+@register("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{10,}'), lambda x: lower(x)) AS k FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(k) AS name FROM w),
+r AS (SELECT DISTINCT doc_id, k[i] AS name, k[i + 1] AS target FROM (SELECT doc_id, k, unnest(range(1, len(k))) AS i FROM w) WHERE k[i] <> k[i + 1])
+SELECT 'entity' AS part, name, '' AS target, length(name) || ' letters' AS description, count(*) AS chunks FROM e GROUP BY name
+UNION ALL SELECT 'relation', name, target, '', count(*) FROM r GROUP BY name, target""")
+def extracted_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Long words of all documents as entities, half of them found by gleaning, and their neighbourhoods as relations."""
+    found = extraction.mentions(_docs(spark, sf), extraction.long_words, store=storage.scratch(spark, "mentions"))
+    e = extraction.entities(found).select(F.lit("entity").alias("part"), "name", F.lit("").alias("target"), "description", "chunks")
+    return e.unionByName(extraction.relations(found).select(F.lit("relation").alias("part"), F.col("source").alias("name"), "target", "description", "chunks"))
+
+
+@register(f"""WITH {_SPARSE},
+ca AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
+qt AS (SELECT item_id AS query_id, unnest(list_distinct({_TK.format(c='text')})) AS a FROM benchmark),
+dt AS (SELECT id, unnest(list_distinct(tk)) AS b FROM d WHERE id IN (SELECT id FROM ca)),
+sim AS (SELECT a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) / greatest(length(a), length(b)) AS x
+  FROM (SELECT DISTINCT a FROM qt) JOIN (SELECT DISTINCT b FROM dt) ON left(a, 1) = left(b, 1)),
+best AS (SELECT ca.query_id, ca.id, a, max(x) AS x FROM ca JOIN qt USING (query_id) JOIN dt USING (id) JOIN sim USING (a, b) GROUP BY ALL),
+n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1),
+re AS (SELECT query_id, id, round(sum(x) / n, 6) AS score FROM best JOIN n USING (query_id) GROUP BY query_id, id, n)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM re QUALIFY rank <= 10""")
+def reranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The thirty best sparse hits of each benchmark item, scored again word by word against the whole texts, and the ten best of them."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.rerank_batch(_sparse_hits(spark, sf, retrieval.candidates(10)), asked, _docs(spark, sf), 10)
+
+
+@register("""WITH t AS (SELECT conv_id, turn, role, 1 + turn % 3 AS lv, repeat('#', CAST(1 + turn % 3 AS INT)) || ' ' || role || chr(10) || text AS block FROM conversations),
+l AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN lv END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS cur FROM t),
+c AS (SELECT *, sum(coalesce(role <> 'assistant' AND lv <= cur, false)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS ended FROM l)
+SELECT conv_id AS path, 'assistant' AS title, string_agg(block, chr(10) ORDER BY turn) AS section FROM c WHERE cur IS NOT NULL AND ended = 0 GROUP BY conv_id""")
+def managed_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The first section of an assistant in each conversation, written as a document with a heading for each turn."""
+    c = table(spark, sf, "conversations")
+    block = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit("\n"), "text")
+    docs = c.groupBy(F.col("conv_id").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))), lambda x: x["block"]), "\n").alias("content"))
+    return chunking.sections(docs, docs.select("path", F.lit("assistant").alias("title")))
+
+
+@register("SELECT c_nationkey AS confidence_percent, c_mktsegment AS occurrence_count, c_name AS pattern_key FROM customer ORDER BY c_nationkey DESC, c_mktsegment DESC, c_name LIMIT 20 OFFSET 40")
+def seek_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The third page of customers as lessons, reached from cursor to cursor."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("confidence_percent"), F.col("c_mktsegment").alias("occurrence_count"), F.col("c_name").alias("pattern_key"))
+    cursor = None
+    for _ in range(2):
+        _, cursor = state.seek(c, "lessons", 20, cursor)
+    return state.seek(c, "lessons", 20, cursor)[0]
