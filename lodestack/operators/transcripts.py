@@ -119,6 +119,23 @@ def facts(docs: DataFrame, key: str, text: str, most: int | None = None) -> Data
     return names.select(key, F.explode(first).alias("y")).select(key, "y.pos", "y.fact")
 
 
+def diary_digest(diary: DataFrame, most: int, key: str = "entry_id", project: str = "project_id") -> DataFrame:
+    """(project_id, entry_count, date_from, date_to, summary, highlights): of each project the range of its entries and the first ``most``
+    facts in the order of the diary, latest entry first, facts distinct within an entry. A project without facts has an empty list.
+
+    Tasks cut each project's facts to ``most`` before the shuffle, and no more of them meet in a row."""
+    lines = diary.select(project, key, "entry_date", "updated_at", F.array_distinct(F.transform(_fact_lines(F.col("content")), lambda y: y["fact"])).alias("facts"))
+    rows = lines.select(project, key, "entry_date", "updated_at", F.posexplode(F.slice("facts", 1, most)).alias("pos", "fact"))
+    order = [F.col("entry_date").desc(), F.col("updated_at").desc(), F.col(key), F.col("pos")]
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(project).orderBy(*order))).where(F.col("n") <= most)
+    told = first.groupBy(project).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "fact"))), lambda x: x["fact"]).alias("highlights"))
+    n = F.col("entry_count")
+    counts = diary.groupBy(project).agg(F.count("*").alias("entry_count"), F.min("entry_date").alias("date_from"), F.max("entry_date").alias("date_to"))
+    text = F.concat(F.lit("Summarized "), n.cast("string"), F.when(n == 1, " diary entry").otherwise(" diary entries"), F.lit(" across the requested range."))
+    both = counts.alias("c").join(told.alias("t"), F.col(f"c.{project}").eqNullSafe(F.col(f"t.{project}")), "left")
+    return both.select(f"c.{project}", "entry_count", "date_from", "date_to", text.alias("summary"), F.coalesce("highlights", F.array().cast("array<string>")).alias("highlights"))
+
+
 def wake_up(sources: DataFrame, texts: DataFrame, max_sources: int, max_facts: int, key: str = "source_id", updated: str = "updated_at") -> DataFrame:
     """Facts of the latest sources in the order of the sources until enough are had; a fact may recur in another source."""
     latest = sources.orderBy(F.col(updated).desc(), key).limit(max_sources)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, extraction, retrieval, state, storage
-from .queries import _docs, register, table
-from .stores import _SPARSE, _TK, _sparse_hits
+from ..operators import chunking, extraction, retrieval, state, storage, transcripts
+from .queries import _FACT, _docs, register, table
+from .stores import _SPARSE, _TK, _dated, _sparse_hits
 
 
 @register("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{10,}'), lambda x: lower(x)) AS k FROM documents),
@@ -58,3 +58,17 @@ def seek_page(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         _, cursor = state.seek(c, "lessons", 20, cursor)
     return state.seek(c, "lessons", 20, cursor)[0]
+
+
+@register(f"""WITH d AS (SELECT role AS project_id, lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || turn AS entry_id, strftime(DATE '2024-01-01' + CAST(turn AS INT), '%Y-%m-%d') AS entry_date, conv_id AS updated_at, text FROM conversations),
+l AS (SELECT project_id, entry_id, entry_date, updated_at, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS x FROM d),
+f AS (SELECT *, {_FACT} AS fact FROM l),
+k AS (SELECT project_id, entry_id, entry_date, updated_at, fact, min(pos) AS pos FROM f WHERE fact <> '' AND NOT regexp_matches(fact, '^(#|Source:|Format:|Wing:|Hall:|Room:|\\[turn:)') GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY entry_date DESC, updated_at DESC, entry_id, pos) AS n FROM k QUALIFY n <= 12),
+h AS (SELECT project_id, string_agg(fact, ' | ' ORDER BY n) AS highlights FROM n GROUP BY 1),
+c AS (SELECT project_id, count(*) AS entry_count, min(entry_date) AS date_from, max(entry_date) AS date_to FROM d GROUP BY 1)
+SELECT project_id, entry_count, date_from, date_to, 'Summarized ' || entry_count || CASE WHEN entry_count = 1 THEN ' diary entry' ELSE ' diary entries' END || ' across the requested range.' AS summary, coalesce(highlights, '') AS highlights FROM c LEFT JOIN h USING (project_id)""")
+def diary_highlights(spark: SparkSession, sf: str) -> DataFrame:
+    """Each role's turns as a diary: its range, how many entries, and the first twelve facts, latest entry first."""
+    d = transcripts.diary_digest(_dated(spark, sf).withColumnRenamed("mood", "project_id"), 12)
+    return d.withColumn("highlights", F.array_join("highlights", " | "))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.operators import chunking, extraction, retrieval, state
+from lodestack.operators import chunking, extraction, retrieval, state, transcripts
 
 
 def flaky(text, found=None):
@@ -147,3 +147,14 @@ def test_seek_filters_at_the_scan(spark, tmp_path):
     _, cursor = state.seek(df, "audit", 10)
     plan = state.seek(df, "audit", 10, cursor)[0]._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(id,990\)", plan), plan
+
+
+def test_diary_digest(spark):
+    rows = [("p", "e1", "2024-01-01", 1, "old\nold\n# head"), ("p", "e2", "2024-01-03", 1, " new  line \nSource: x\n\nmore"), ("p", "e3", "2024-01-03", 2, "late\nmore"), ("q", "e1", "2024-02-01", 1, None), (None, "e9", "2024-03-01", 1, "x"), ("q", "e2", "2024-02-02", 1, "")]
+    d = spark.createDataFrame(rows, "project_id string, entry_id string, entry_date string, updated_at long, content string").repartition(3)
+    got = {r.project_id: r for r in transcripts.diary_digest(d, 4).collect()}
+    assert got["p"].highlights == ["late", "more", "new line", "more"] and got["p"].entry_count == 3
+    assert (got["p"].date_from, got["p"].date_to, got["p"].summary) == ("2024-01-01", "2024-01-03", "Summarized 3 diary entries across the requested range.")
+    assert got["q"].highlights == [] and got[None].highlights == ["x"] and got[None].summary.startswith("Summarized 1 diary entry ")
+    assert {r.project_id: r.highlights for r in transcripts.diary_digest(d, 9).collect()}["p"][-1] == "old"
+    assert transcripts.diary_digest(d.where("false"), 4).count() == 0
