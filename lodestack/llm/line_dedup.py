@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from .common import cut, mix64, pack, spent, unpack
 
@@ -323,13 +322,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, posts: DataFrame, size: int, perce
 
 
 def _posts(single: DataFrame) -> DataFrame:
-    """Of each line those of its prefix tokens that another line has written too: t, and r, its place in the order. The rows lie by token
-    on the executors' disks, so the heads and both joins take them as they lie; rows of a lost executor are made again from the written lines."""
+    """Of each line those of its prefix tokens that another line has written too: t, and r, its place in the order."""
     counts = cut(single.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "counts")
     rows = single.select("doc_id", "th", "pos", *NAME, "n", *BITS, F.posexplode("s").alias("r", "t"))
-    if counts.count() <= BROADCAST:
-        return rows.join(F.broadcast(counts), "t", "left_semi").repartition("t").persist(StorageLevel.DISK_ONLY)
-    return rows.join(counts.hint("merge"), "t", "left_semi").persist(StorageLevel.DISK_ONLY)  # the join has them by token
+    out = cut(rows.join(_few(counts, BROADCAST), "t", "left_semi"), "posts")
+    spent(counts)
+    return out
 
 
 def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, short: bool = True, arrow: bool = False) -> DataFrame:
@@ -352,8 +350,7 @@ def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, sho
 
     gone = one.union(two).withColumn("gone", F.lit(True))
     verdict = cut(repeated.join(gone, NAME, "full").select(*NAME, "first", "copies", F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
-    posts.unpersist()
-    spent(nearest, others, repeated, one, two)
+    spent(posts, nearest, others, repeated, one, two)
     return _occurrences(lines.select("doc_id", "th", "pos", "place", *NAME), verdict)
 
 
