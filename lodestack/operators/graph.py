@@ -141,6 +141,46 @@ def traverse(nodes: DataFrame, start: str, depth: int, most: int = 2000, tunnels
     return out, both
 
 
+def walk(nodes: DataFrame, start: str, depth: int, most: int = 2000) -> tuple[DataFrame, bool]:
+    """(nodes with position and depth, truncated): the nodes that a queue from ``start`` meets, a node's parent before its children by kind,
+    label and id. It ends after ``most`` nodes; truncated says whether the queue then still held any. Without the start there are no rows.
+
+    A level is joined to the last one, which is no more than ``most`` rows and so is broadcast, and cut to what may still come; later
+    levels are never looked at. A parent that is no node is passed over. Ids are unique."""
+    first = nodes.select("node_id", "kind", "label", "parent_node_id")
+    rank = ["at", "side", "kind", "label", "node_id"]
+
+    def met(level: DataFrame) -> DataFrame:
+        """New nodes next to the level, each by its first way there."""
+        at = F.broadcast(level.select(F.col("position").alias("at"), F.col("node_id").alias("a"), F.col("parent_node_id").alias("up")))
+        up = first.join(at, F.col("node_id") == F.col("up")).withColumn("side", F.lit(0))
+        down = first.join(at, F.col("parent_node_id") == F.col("a")).withColumn("side", F.lit(1))
+        ways = up.unionByName(down).groupBy("node_id").agg(F.min(F.struct(*rank, "parent_node_id")).alias("x")).select("x.*")
+        return ways.join(F.broadcast(seen.select("node_id")), "node_id", "left_anti")
+
+    def whole() -> DataFrame:
+        got = F.broadcast(seen.where(F.col("position") < most).select("node_id", "depth", "position"))
+        return nodes.drop("depth", "position").join(got, "node_id").orderBy("position")
+
+    found = first.where(F.col("node_id") == start).limit(1)
+    level = seen = _durable(found.select("node_id", "parent_node_id", F.lit(0).alias("depth"), F.lit(0).alias("position")))
+    n = seen.count()
+    last = n
+    for d in range(1, depth + 1):
+        if not last:
+            break
+        if n >= most:  # the node that filled it was not asked for its neighbours
+            return whole(), not met(level.where(F.col("position") < n - 1)).isEmpty()
+        best = met(level).orderBy(*rank).limit(most - n + 1)  # one more tells whether it is cut
+        order = F.row_number().over(Window.orderBy(*rank)) - 1 + n  # over at most that many rows
+        level = _durable(best.select("node_id", "parent_node_id", F.lit(d).alias("depth"), order.alias("position")))
+        last = level.count()
+        seen, n = seen.unionByName(level), n + last
+        if n > most:
+            break
+    return whole(), n > most
+
+
 def tunnels_touching(tunnels: DataFrame, ids: list[str]) -> DataFrame:
     """Tunnels with either end in the list."""
     return tunnels.where(F.col("from_node_id").isin(ids) | F.col("to_node_id").isin(ids)).dropDuplicates(["tunnel_id"])

@@ -1,12 +1,15 @@
-"""Registered queries over extraction with gleaning, reranking of many queries, sections of documents and pages by key, with their DuckDB SQL."""
+"""Registered queries over extraction with gleaning, reranking of many queries, sections of documents, pages by key and conversations taken in, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, extraction, retrieval, state, storage, transcripts
-from .queries import _FACT, _docs, register, table
+from ..operators import chunking, extraction, graph, ingest, retrieval, state, storage, transcripts
+from .more import _SLUG
+from .queries import _FACT, _TREE, _docs, _tree, register, table
 from .stores import _SPARSE, _TK, _dated, _sparse_hits
 
 
@@ -72,3 +75,62 @@ def diary_highlights(spark: SparkSession, sf: str) -> DataFrame:
     """Each role's turns as a diary: its range, how many entries, and the first twelve facts, latest entry first."""
     d = transcripts.diary_digest(_dated(spark, sf).withColumnRenamed("mood", "project_id"), 12)
     return d.withColumn("highlights", F.array_join("highlights", " | "))
+
+
+_WORDS = """s AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id % 4 = 2 OR conv_id % 8 = 3 THEN 'Wing ' || conv_id % 5 END AS wing0, CASE WHEN conv_id % 4 >= 2 THEN 'hall ' || conv_id % 3 END AS hall,
+  CASE WHEN conv_id % 2 = 1 THEN 'Room ' || conv_id % 7 END AS room FROM (SELECT DISTINCT conv_id FROM conversations)),
+p AS (SELECT path, hall, room, CASE WHEN coalesce(wing0, hall, room) IS NOT NULL THEN coalesce(wing0, 'p1') END AS wing FROM s),
+w AS (SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN lower(role) IN ('system', 'user', 'assistant', 'tool') THEN lower(role) ELSE 'unknown' END AS role, turn, generate_subscripts(string_split(text, ' '), 1) AS pos, unnest(string_split(text, ' ')) AS x
+  FROM (SELECT conv_id, role, turn, coalesce(text, '') AS text FROM conversations)),
+m AS (SELECT path, role, x, row_number() OVER (PARTITION BY path ORDER BY turn, pos) - 1 AS i FROM w),
+g AS (SELECT path, role, x, count(*) AS n, octet_length(encode(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))) AS b FROM m WHERE regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT *, least(95, 50 + CASE WHEN b < 10 THEN 0 WHEN b < 24 THEN 5 WHEN b < 48 THEN 10 ELSE 15 END + CASE WHEN n = 2 THEN 10 WHEN n = 3 THEN 20 ELSE 30 END) AS sure,
+  'aaak-' || substr(sha256(upper(role[1]) || role[2:] || ':' || x), 1, 12) AS key FROM g),
+b AS (SELECT *, 'lesson-' || substr(sha256('p1:' || key), 1, 16) AS id FROM c WHERE sure >= 70 QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, x, key) <= 8),
+d AS (SELECT DISTINCT wing, 'drawer:' || {w} || '-' || substr(sha256('v2:p1:drawer:' || wing), 1, 32) AS id FROM p WHERE wing IS NOT NULL),
+k AS (SELECT DISTINCT p.wing, hall, 'closet:' || {h} || '-' || substr(sha256('v2:p1:closet:' || p.wing || ':' || hall), 1, 32) AS id, d.id AS up FROM p JOIN d USING (wing) WHERE hall IS NOT NULL),
+r AS (SELECT DISTINCT p.wing, p.hall, room, 'room:' || {r} || '-' || substr(sha256('v2:p1:room:' || p.wing || ':' || coalesce(p.hall || ':', '') || room), 1, 32) AS id, coalesce(k.id, d.id) AS up
+  FROM p JOIN d USING (wing) LEFT JOIN k ON k.wing = p.wing AND k.hall = p.hall WHERE room IS NOT NULL),
+t AS (SELECT path, count(*) AS n FROM m GROUP BY 1)""".format(w=_SLUG.format(c="wing"), h=_SLUG.format(c="hall"), r=_SLUG.format(c="room"))
+
+
+@register(f"""WITH {_WORDS}
+SELECT 'source' AS part, path AS id, wing AS a, hall AS b, room AS c, n FROM p JOIN t USING (path)
+UNION ALL SELECT 'node', id, wing, 'drawer', NULL, 0 FROM d UNION ALL SELECT 'node', id, hall, 'closet', up, 0 FROM k UNION ALL SELECT 'node', id, room, 'room', up, 0 FROM r
+UNION ALL SELECT 'lesson', id, x, role, path, n FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY path DESC) = 1
+UNION ALL SELECT 'chunk', path || ':' || i, '[turn:' || i || '][role:' || role || ']' || chr(10) || x, concat_ws('/', 'conversation', wing, hall, room), path, 0 FROM m JOIN p USING (path)
+UNION ALL SELECT 'audit', 'memory.ingest_conversation', 'ok', '{{"project_id":"p1","path":"' || path || '","ingested_chunks":' || n || '}}', NULL, 0 FROM t""")
+def ingest_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows that taking in the conversations makes, their words as messages, read from the stored tables after they were taken in twice."""
+    t = table(spark, sf, "conversations")
+    at = F.col("conv_id")
+    text = lambda c, k: F.concat(F.lit(c), (at % k).cast("string"))
+    wing, hall, room = F.when((at % 4 == 2) | (at % 8 == 3), text("Wing ", 5)), F.when(at % 4 >= 2, text("hall ", 3)), F.when(at % 2 == 1, text("Room ", 7))
+    sources = t.select(at.cast("string").alias("source_path"), F.lit("claude").alias("format"), wing.alias("wing"), hall.alias("hall"), room.alias("room")).distinct()
+    words = t.select(at.cast("string").alias("source_id"), F.when(F.lower("role").isin(*transcripts.ROLES), F.lower("role")).otherwise("unknown").alias("role"), "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("pos", "content"))
+    turn = (F.row_number().over(Window.partitionBy("source_id").orderBy("turn", "pos")) - 1).alias("turn_index")
+    found = ingest.records(words.select("source_id", "role", "content", turn), sources, "p1", 1)
+    folder = storage.scratch(spark, "ingest")
+    ingest.commit(found | {"audit": found["audit"].limit(0)}, folder, 8)
+    kept = {k: v.read() for k, v in ingest.commit(found, folder).items()} | {"audit": spark.read.parquet(f"{folder}/audit")}
+    cols = {
+        "source": (kept["sources"], ["source_path", "wing", "hall", "room", "message_count"]),
+        "node": (kept["nodes"], ["node_id", "label", "kind", "parent_node_id", F.lit(0)]),
+        "lesson": (kept["lessons"], ["lesson_id", "canonical_text", "role", "source_transcript_path", "occurrence_count"]),
+        "chunk": (kept["chunks"], ["id", "content", F.array_join("heading_hierarchy", "/"), "source_path", F.lit(0)]),
+        "audit": (kept["audit"], ["operation", "outcome", "params", F.lit(None).cast("string"), F.lit(0)]),
+    }
+    parts = [df.select(F.lit(part).alias("part"), *[(F.col(c) if isinstance(c, str) else c).cast("long" if n == "n" else "string").alias(n) for c, n in zip(x, ["id", "a", "b", "c", "n"], strict=True)]) for part, (df, x) in cols.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(f"""WITH RECURSIVE {_TREE},
+w AS (SELECT 'n3' AS node_id, CAST(NULL AS VARCHAR) AS back, 0 AS depth, '' AS way
+  UNION ALL SELECT x.node_id, w.node_id, w.depth + 1, w.way || chr(1) || x.side || chr(1) || x.kind || chr(1) || x.label || chr(1) || x.node_id
+  FROM w JOIN (SELECT t.node_id AS a, u.node_id, '0' AS side, u.kind, u.label FROM t JOIN t AS u ON u.node_id = t.parent UNION ALL SELECT parent, node_id, '1', kind, label FROM t WHERE parent IS NOT NULL) AS x
+  ON x.a = w.node_id WHERE w.depth < 3 AND x.node_id IS DISTINCT FROM w.back)
+SELECT row_number() OVER (ORDER BY depth, way) - 1 AS position, node_id, depth, (SELECT count(*) > 20 FROM w) AS truncated FROM w QUALIFY position < 20""")
+def tree_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twenty places that a walk from a nation reaches within three steps, in the order of its queue, and whether there are more."""
+    rows, truncated = graph.walk(_tree(spark, sf), "n3", 3, 20)
+    return rows.select(F.col("position").cast("long").alias("position"), "node_id", "depth", F.lit(truncated).alias("truncated"))
