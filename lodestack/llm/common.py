@@ -87,6 +87,17 @@ def unpack(blob: bytes, *dtypes: object) -> list[np.ndarray]:
     return out
 
 
+def press(*arrays: np.ndarray) -> bytes:
+    """pack() with the first bytes of all entries before the second ones and so on: the upper bytes of small numbers shrink to next to nothing."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T for a in arrays]
+    return pack(*[np.ascontiguousarray(x).reshape(-1) for x in planes])
+
+
+def unpress(blob: bytes, *dtypes: object) -> list[np.ndarray]:
+    planes = unpack(blob, *[np.uint8] * len(dtypes))
+    return [np.ascontiguousarray(x.reshape(np.dtype(d).itemsize, -1).T).view(d).reshape(-1) for x, d in zip(planes, dtypes, strict=True)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the session has it, or the context's own checkpoint folder. On local[...]
     masters, where driver and executors are one process, the warehouse stands in where both are unset; on a cluster that is an error."""

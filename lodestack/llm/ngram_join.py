@@ -31,12 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, mix64, pack, slices, space_words, texts, unpack
+from .common import WordHash, cut, mix64, pack, press, slices, space_words, spent, texts, unpack, unpress
 from .graph import components
 
 SHINGLE, PERCENT, CAP, GROUP = 5, 80, 2000, 16
 SKETCH_BITS = 20
 _RANGE_BYTES = 16 << 20
+_SLICE_BYTES = 8 << 20
+#: Sets that may link, as far as their documents' ids are sent to the texts; beyond it the texts are shuffled to them.
+SENT = 2_000_000
 
 
 def shingles(words: list[bytes], size: int, hashes: WordHash) -> np.ndarray:
@@ -69,7 +72,7 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE_BYTES):
             ids = batch.column(0).to_numpy().astype(np.int64)
             sets = [shingles(space_words(t), size, hashes) for t in texts(batch.column(1))]
             n = np.array([len(s) for s in sets], np.int64)
@@ -90,7 +93,7 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
                     m = np.flatnonzero((home == b) & (here > 0))
                     m = m[np.argsort(ids[m], kind="stable")]
                     key.append(ranges + buckets + int(b))
-                    blob.append(pack(np.diff(ids[m], prepend=np.int64(0)), here[m]))
+                    blob.append(press(np.diff(ids[m], prepend=np.int64(0)), here[m]))
             at = _edges(tokens, ranges, bits)
             for r in range(ranges):
                 a, b = at[r], at[r + 1]
@@ -98,7 +101,7 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
                     own, where = np.unique(rows[a:b], return_inverse=True)
                     own = own[own < len(sets)]  # the last number, if it is behind them, is of no row
                     key.append(r)
-                    blob.append(pack(np.diff(tokens[a:b], prepend=np.uint64(0)), where.astype(np.uint32), np.diff(ids[own], prepend=np.int64(0))))
+                    blob.append(press(np.diff(tokens[a:b], prepend=np.uint64(0)), where.astype(np.uint32), np.diff(ids[own], prepend=np.int64(0))))
             for b in np.unique(home):
                 m = np.flatnonzero(home == b)
                 key.append(ranges + int(b))
@@ -119,7 +122,7 @@ def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 def _small(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A range blob's tokens, their documents' numbers, the documents' ids."""
-    t, r, i = unpack(blob, np.uint64, np.uint32, np.int64)
+    t, r, i = unpress(blob, np.uint64, np.uint32, np.int64)
     return np.cumsum(t, dtype=np.uint64), r, np.cumsum(i, dtype=np.int64)
 
 
@@ -153,7 +156,7 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
         doc, total = doc[total > 0], total[total > 0]
         home = _home(doc, buckets)
         keys = np.unique(home)
-        blobs = [pack(np.diff(doc[home == b], prepend=np.int64(0)), total[home == b].astype(np.uint32)) for b in keys]
+        blobs = [press(np.diff(doc[home == b], prepend=np.int64(0)), total[home == b].astype(np.uint32)) for b in keys]
         return pa.table({"home": pa.array(keys, pa.int64()), "sizes": pa.array([False] * len(keys), pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
     return shared
@@ -172,7 +175,7 @@ def _candidates(percent: int) -> Callable[[pa.Table], pa.Table]:
                 raw = c.tobytes()
                 sid += [raw[k : k + 16] for k in range(0, len(raw), 16)]
             else:
-                a, b = unpack(blob, np.int64, np.uint32)
+                a, b = unpress(blob, np.int64, np.uint32)
                 doc.append(np.cumsum(a, dtype=np.int64))
                 count.append(b)
         i, m = np.concatenate(ids), np.concatenate(n)
@@ -379,12 +382,18 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).withColumn("home", F.xxhash64("cluster", "block")).drop("block")
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame, sent: int = SENT) -> DataFrame:
+    """(text, sid) of the documents that stand for a set. Few of the texts are wanted, so their ids go to the texts, which stay where they are."""
+    few = reps.count() <= sent
+    return docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("text", "sid")
+
+
 def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row with an id, and (v, root): the component of each set that links with another."""
     spark = docs.sparkSession
     kind = "a binary, b binary"
     known = sets_of(docs, size, percent)
-    reps = known.where("candidate").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    reps = cut(known.where("candidate").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -393,8 +402,7 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
             keep = [i for i, (s, want) in enumerate(zip(sets, b.column(1).to_pylist(), strict=True)) if set_id(s) == want]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["sid", "tokens"])
 
-    texts_of = docs.select("doc_id", "text").join(reps, "doc_id").select("text", "sid")
-    sets = cut(texts_of.mapInArrow(tokens, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
+    sets = cut(_texts_of(docs, reps).mapInArrow(tokens, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
     n_tokens, n_sets = sets.agg(F.sum(F.octet_length("tokens") / 8), F.count("*")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ties = cut(_prefixes(sets, _sketch(sets, SKETCH_BITS), percent, max(parts, int((n_tokens or 0) // 2_000_000))), "ties")
@@ -402,7 +410,8 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
     count = cluster.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / cap)
     tasks = max(parts, int((n_tokens or 0) // 2_000_000))
-    placed = sets.join(cluster, F.col("sid") == F.col("v")).join(count, "root").select("sid", "tokens", F.col("root").alias("cluster"), "members", blocks.alias("blocks"))
+    where = cluster.join(count, "root").select("v", F.col("root").alias("cluster"), "members", blocks.alias("blocks"))
+    placed = sets.join(where, F.col("sid") == F.col("v")).select("sid", "tokens", "cluster", "members", "blocks")
     alone = F.col("members") <= cap
     home = F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long"))))
     rows = placed.select("sid", "tokens", "cluster", "blocks", alone.alias("alone"), home.alias("home"), F.lit(True).alias("ask"), F.col("sid").alias("label"))
@@ -425,7 +434,10 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
         hosts = marked.select("sid", "cluster", "home", "label", F.lit(False).alias("ask"))
         again = guests.unionByName(hosts).join(sets, "sid").select(*columns)
         more = again.groupBy("home").applyInArrow(_verify(percent), kind)
-        roots = cut(components(cut(verified.unionByName(more), "links")), "roots")
+        found, less = cut(verified.unionByName(more), "links"), roots
+        roots = cut(components(found), "roots")
+        spent(found, less, marked)
+    spent(reps, sets, ties, cluster, verified)
     return known, roots
 
 

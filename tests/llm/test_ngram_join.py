@@ -113,3 +113,33 @@ def test_rows_that_share_an_id_are_judged_each(spark, docs_of):
     assert got[0].asDict().keys() == docs_of(rows).first().asDict().keys()
     plain = representatives(docs_of([(1, a), (2, a), (3, other)])).collect()
     assert {r["doc_id"] for r in plain} == {1, 3}
+
+
+def test_range_blobs_are_small():
+    """A slice's tokens of one hash range and their rows: about 21 and 11 bits each, and little more when written down."""
+    import numpy as np
+
+    from lodestack.llm.common import press, unpress
+
+    r = np.random.default_rng(1)
+    t, rows, ids = np.sort(r.integers(0, 1 << 40, 500_000)).astype(np.uint64), r.integers(0, 2000, 500_000).astype(np.uint32), np.arange(0, 4000, 2)
+    blob = press(np.diff(t, prepend=np.uint64(0)), rows, np.diff(ids, prepend=np.int64(0)))
+    assert len(blob) < 4.7 * len(t)
+    back = unpress(blob, np.uint64, np.uint32, np.int64)
+    assert (np.cumsum(back[0], dtype=np.uint64) == t).all() and (back[1] == rows).all() and (np.cumsum(back[2]) == ids).all()
+    assert [len(x) for x in unpress(press(t[:0], rows[:0]), np.uint64, np.uint32)] == [0, 0]
+
+
+def test_texts_stay_where_they_are(spark, docs_of):
+    from lodestack.llm.common import cut
+
+    docs = docs_of([(i, f"text {i}") for i in range(40)])
+    reps = cut(spark.createDataFrame([(3, b"x"), (9, b"y")], "doc_id long, sid binary"), "reps")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent, met = nj._texts_of(docs, reps), nj._texts_of(docs, reps, sent=1)
+        assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+        assert sorted(sent.collect()) == sorted(met.collect()) and sent.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
