@@ -17,13 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import Best, dense_batch, matrix, unit, usable
+from .retrieval import TILE, Best, dense_batch, matrix, unit, usable
 from .storage import Manifests, remove, scratch
 
 #: Rows of the sample that the centroids are fitted on, queries that ``probe`` is measured with, queries sent to the tasks at a time.
 SAMPLE, TRIALS, BLOCK, ROUNDS, MOST_LISTS = 20_000, 200, 4096, 8, 4096
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of the centroid nearest to each row; a few rows are compared at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *[np.argmax(x[i : i + TILE[1]] @ c.T, 1) for i in range(0, len(x), TILE[1])]])
+
+
 def centroids(sample: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids of a bounded sample (id, vector): tasks assign and sum, the driver takes means."""
     first = sample.orderBy(F.xxhash64("id"), "id").limit(lists).collect()
@@ -37,7 +42,7 @@ def centroids(sample: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray
             total, n = np.zeros(at.shape), np.zeros(len(at), np.int64)
             for b in batches:
                 x = unit(matrix(b.column(0)))
-                own = np.argmax(x @ at.T, 1)
+                own = nearest(x, at)
                 np.add.at(total, own, x)
                 n += np.bincount(own, minlength=len(at))
             seen = np.flatnonzero(n)
@@ -89,7 +94,7 @@ class Lists:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own = np.argmax(unit(matrix(b.column(1))) @ sent.value.T, 1) if b.num_rows else np.zeros(0)
+                own = nearest(unit(matrix(b.column(1))), sent.value) if b.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32))], names=["id", "vector", "list"])
 
         remove(spark, f"{folder}/rows")
@@ -133,10 +138,9 @@ class Lists:
             names = np.array([x["query_id"] for x in block], object)
             q = unit(np.array([x["vector"] for x in block], float).reshape(len(block), self.note["dims"]))
             near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probe]
-            asked: dict[int, list[int]] = {}
-            for i, row in enumerate(near.tolist()):
-                for x in row:
-                    asked.setdefault(x, []).append(i)
+            order = np.argsort(near, axis=None, kind="stable")
+            wanted, first = np.unique(near.ravel()[order], return_index=True)
+            asked = dict(zip(wanted.tolist(), np.split((order // max(probe, 1)).astype(np.int32), first[1:]), strict=True)) if len(wanted) else {}
             sent = self.spark.sparkContext.broadcast((names, q, asked))
 
             def scored(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ class Lists:
                     x, ids, own = unit(matrix(b.column(1))), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
                     for one in np.unique(own).tolist():
                         here, who = np.flatnonzero(own == one), asked[one]
-                        best.add(who, ids[here], np.round(q[who] @ x[here].T, digits))
+                        best.products(who, q[who], ids[here], x[here], digits)
                 yield best.batch(names, b_types)
 
             b_types = pa.schema([("query_id", _arrow(kind, 0)), ("id", _arrow(kind, 1)), ("score", pa.float64())])

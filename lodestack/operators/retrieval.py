@@ -83,6 +83,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+#: Queries and rows whose scores a task holds at once: 16 MB, however many there are of either.
+TILE = (1024, 2048)
+
+
 class Best:
     """The k best (score, id) of each of n queries among what was added, ties to the smaller id."""
 
@@ -92,7 +96,11 @@ class Best:
 
     def add(self, queries: Sequence[int], ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: a row for each of the queries, a column for each id."""
-        for i, s in zip(queries, scores, strict=True):
+        if not scores.size:
+            return
+        queries = np.asarray(queries)
+        for at in np.flatnonzero(scores.max(axis=1) >= self.least[queries]).tolist():
+            i, s = int(queries[at]), scores[at]
             edge = max(self.least[i], np.partition(s, -self.k)[-self.k] if len(s) > self.k else -np.inf)
             at = np.flatnonzero(s >= edge)
             if len(at):
@@ -101,6 +109,14 @@ class Best:
                 if len(held) == self.k:
                     self.least[i] = held[-1][0]
 
+    def products(self, queries: Sequence[int], q: np.ndarray, ids: np.ndarray, x: np.ndarray, digits: int) -> None:
+        """Adds the rounded products of the queries' vectors q with the vectors x of the ids, tile by tile."""
+        queries, (many, rows) = np.asarray(queries), TILE
+        for j in range(0, len(x), rows):
+            for i in range(0, len(q), many):
+                s = q[i : i + many] @ x[j : j + rows].T
+                self.add(queries[i : i + many], ids[j : j + rows], np.round(s, digits, out=s))
+
     def batch(self, names: Sequence[object], schema: pa.Schema) -> pa.RecordBatch:
         """(query, id, score) of all that is held."""
         rows = [(name, i, s) for name, held in zip(names, self.held, strict=True) for s, i in held]
@@ -129,7 +145,7 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
             held = Best(len(names), k)
             for b in batches:
                 if b.num_rows and names:
-                    held.add(range(len(names)), b.column(0).to_numpy(zero_copy_only=False), np.round(q @ unit(matrix(b.column(1))).T, digits))
+                    held.products(range(len(names)), q, b.column(0).to_numpy(zero_copy_only=False), unit(matrix(b.column(1))), digits)
             yield held.batch(names, schema)
 
         found = vectors.select(key, vector).mapInArrow(best, f"{query_key} {types[query_key].simpleString()}, {key} {types[key].simpleString()}, score double")

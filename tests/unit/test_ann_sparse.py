@@ -92,3 +92,21 @@ def test_pair_has_a_threshold_on_the_dense_side_only(spark):
     s = spark.createDataFrame([(1, 11, 5.0), (1, 12, 15.0)], "query_id long, id long, score double")
     got = hits(sparse.pair(d, s, 5, threshold=0.3, digits=6))
     assert got == {1: [(10, 0.63), (12, 0.225), (11, 0.15)], 2: [(10, 0.35)]}
+
+
+def test_scores_are_held_by_tiles():
+    """Many queries times a whole batch of rows: what is held at once does not grow with either, the rows are those of all scores."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, x, ids = rng.normal(size=(3000, 8)), rng.normal(size=(10_000, 8)), rng.permutation(10_000)
+    best = retrieval.Best(len(q), 3)
+    tracemalloc.start()
+    best.products(range(len(q)), q, ids, x, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores are 240 MB
+    for i in (0, 1023, 1024, 2999):
+        s = np.round(q[i] @ x.T, 2)
+        assert best.held[i] == [(float(s[j]), int(ids[j])) for j in np.lexsort((ids, -s))[:3]]
+    assert ann.nearest(x, q[:50]).tolist() == np.argmax(x @ q[:50].T, 1).tolist() and len(ann.nearest(x[:0], q)) == 0
