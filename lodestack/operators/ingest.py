@@ -79,9 +79,9 @@ def commit(found: dict[str, DataFrame], folder: str, buckets: int = 64) -> dict[
     for name, key in KEYS.items():
         table = out[name] = storage.Stored(spark, f"{folder}/{name}")
         if not table.manifests.numbers():
-            storage.Stored.create(found[name], table.folder, key, buckets)
+            storage.Stored.create(found[name], table.folder, key, buckets, dealt=name == "chunks")  # numbered by source: they lie by their key
         elif name == "chunks":
-            table.replace(found["sources"].select("source_path"), found[name])
+            table.replace(found["sources"].select("source_path"), found[name], dealt=True)
         else:
             table.upsert(found[name])
     found["audit"].write.mode("append").parquet(f"{folder}/audit")

@@ -78,10 +78,11 @@ class Stored:
         self.manifests = Manifests(spark, f"{self.folder}/manifest")
 
     @classmethod
-    def create(cls, rows: DataFrame, folder: str, key: Sequence[str], buckets: int = 64) -> Stored:
-        """A new table of the rows. ``buckets`` should leave a bucket of the size of a task's input."""
+    def create(cls, rows: DataFrame, folder: str, key: Sequence[str], buckets: int = 64, dealt: bool = False) -> Stored:
+        """A new table of the rows. ``buckets`` should leave a bucket of the size of a task's input. Rows that are ``dealt`` by their key already
+        are written by the tasks that have them, without a shuffle: a file for each task and bucket."""
         out = cls(rows.sparkSession, folder)
-        out._write(rows, 1, {"key": list(key), "count": buckets, "schema": rows.schema.json(), "buckets": {}}, None)
+        out._write(rows, 1, {"key": list(key), "count": buckets, "schema": rows.schema.json(), "buckets": {}}, None, dealt)
         return out
 
     def _bucket(self, note: dict) -> Column:
@@ -94,21 +95,22 @@ class Stored:
         schema = StructType.fromJson(json.loads(note["schema"]))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, rows: DataFrame, version: int, note: dict, touched: set[int] | None) -> None:
+    def _write(self, rows: DataFrame, version: int, note: dict, touched: set[int] | None, dealt: bool = False) -> None:
         target = f"{self.folder}/data/version={version}"
         remove(self.spark, target)  # what a writer that failed has left
-        rows.withColumn("_bucket", self._bucket(note)).repartition("_bucket").write.partitionBy("_bucket").parquet(target)
+        rows = rows.withColumn("_bucket", self._bucket(note))
+        (rows if dealt else rows.repartition("_bucket")).write.partitionBy("_bucket").parquet(target)
         written = {n.split("=")[1]: version for n in children(self.spark, target) if n.startswith("_bucket=")}
         kept = {b: v for b, v in note["buckets"].items() if touched is not None and int(b) not in touched}
         self.manifests.write(version, note | {"buckets": kept | written})
 
-    def change(self, keys: DataFrame, rewrite: Callable[[DataFrame], DataFrame]) -> int:
+    def change(self, keys: DataFrame, rewrite: Callable[[DataFrame], DataFrame], dealt: bool = False) -> int:
         """Rewrites the buckets in which ``keys`` fall; the new version's number."""
         version, note = self.manifests.read()
         touched = {r[0] for r in keys.select(self._bucket(note)).distinct().collect()}  # at most the number of buckets
         if touched:
             version += 1
-            self._write(rewrite(self._files(note, touched)), version, note, touched)
+            self._write(rewrite(self._files(note, touched)), version, note, touched, dealt)
         return version
 
     def upsert(self, changes: DataFrame, updated: str = "updated_at", keep_first: Sequence[str] = ()) -> int:
@@ -119,10 +121,16 @@ class Stored:
         key = self.manifests.read()[1]["key"]
         return self.change(gone, lambda old: delete(old, gone, key, only))
 
-    def replace(self, keys: DataFrame, new: DataFrame) -> int:
-        """All rows of the given keys give way to ``new``, whose keys are among them: a file's chunks to those of its new content."""
+    def replace(self, keys: DataFrame, new: DataFrame, dealt: bool = False) -> int:
+        """All rows of the given keys give way to ``new``, whose keys are among them: a file's chunks to those of its new content. If the
+        touched buckets hold no other key, only the old rows' keys are read. With ``dealt`` the rows of a key should lie in few tasks."""
         key = self.manifests.read()[1]["key"]
-        return self.change(keys, lambda old: delete(old, keys, key).unionByName(new))
+
+        def rewrite(old: DataFrame) -> DataFrame:
+            others = delete(old.select(*key).distinct(), keys, key)
+            return new if others.isEmpty() else delete(old, keys, key).unionByName(new)
+
+        return self.change(keys, rewrite, dealt)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._files(self.manifests.read(version)[1])

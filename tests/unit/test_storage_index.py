@@ -121,3 +121,20 @@ def test_search_reads_the_terms_buckets_and_skips_blocks(spark, tmp_path):
     scan = next(x for x in plan.splitlines() if "FileScan parquet" in x)
     assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan or "bucket" in scan.split("PartitionFilters:")[1].split("]")[0]
     assert "EqualTo(term,rare)" in scan or "In(term, [rare])" in scan
+
+
+def test_dealt_rows_and_whole_replacement(spark, tmp_path):
+    """Rows that lie by their key are written without a shuffle; a replacement of all keys does not take the old rows along."""
+    rows = spark.createDataFrame([(f"s{i % 7}", i) for i in range(70)], "path string, n long").repartition(3, "path").cache()
+    seen = []
+    write, Stored._write = Stored._write, lambda self, df, version, note, touched, dealt=False: (seen.append((dealt, df._jdf.queryExecution().optimizedPlan().toString())), write(self, df, version, note, touched, dealt))[1]
+    try:
+        table = Stored.create(rows, str(tmp_path / "d"), ["path"], 4, dealt=True)
+        assert sorted(table.read().collect()) == sorted(rows.collect())
+        table.replace(rows.select("path"), rows.selectExpr("path", "n + 1 as n"), dealt=True)
+        assert sorted(table.read().collect()) == sorted((p, n + 1) for p, n in rows.collect())
+        assert "Union" not in seen[-1][1] and seen[-1][0]
+        table.replace(spark.createDataFrame([("s1",)], "path string"), rows.where("path = 's1'"))
+        assert sorted(table.read().collect()) == sorted((p, n + (p != "s1")) for p, n in rows.collect())
+    finally:
+        Stored._write = write
