@@ -7,34 +7,55 @@ the next stage's documents. All but the last return the columns of documents; th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontam, line_dedup, mixing, ngram_join, toxicity
 from lodestack.llm.common import cut, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of an Arrow batch between an executor and its Python workers. The default of 10,000 rows is some 30 MB of whole texts, which both sides hold several times.
+BATCH_BYTES = 8 << 20
+
+
+def _in_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@_in_batches
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@_in_batches
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are alike to an earlier line, short ones too, leave the texts, and documents of which nothing else is left go."""
     out = line_dedup.dedup(docs, short=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@_in_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one with the least id stays."""
     return ngram_join.representatives(docs)
 
 
+@_in_batches
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_batches
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
     return mixing.resample(docs)

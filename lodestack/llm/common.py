@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,10 +59,9 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most about ``most`` bytes of text (a longer text stays whole)."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.fromiter((len(x) if x else 0 for x in texts(col)), np.int64, len(col))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))  # bytes, without a copy of the texts
         start, held = 0, 0
-        for i, n in enumerate(sizes.tolist()):
+        for i, n in enumerate(x or 0 for x in sizes.to_pylist()):
             if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -28,6 +28,8 @@ from .common import alnum_words, cut, slices, spent, texts
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
+#: Bytes of text that are indexed at a time, and pairs of a window and a place that are checked at a time.
+_SLICE_BYTES, _PAIRS = 1 << 20, 200_000
 
 
 class TestItems:
@@ -92,10 +94,9 @@ class PositionalIndex:
         wins, starts = [none], [none]
         for t in both.tolist():
             w = items.of_term[items.first[t] : items.first[t + 1]]
-            p = self.positions[self.first[t] : self.first[t + 1]]
-            step = max(1, 2_000_000 // max(1, len(p)))
-            for k in range(0, len(w), step):
-                ww = w[k : k + step]
+            every = self.positions[self.first[t] : self.first[t + 1]]
+            step = max(1, _PAIRS // len(every))
+            for ww, p in ((w[k : k + step], every[i : i + _PAIRS]) for k in range(0, len(w), step) for i in range(0, len(every), _PAIRS)):
                 s = (p[None, :] - items.offsets[ww, 0][:, None]).ravel()
                 v = np.repeat(ww, len(p))
                 keep = (s >= 0) & (s + items.length[v] <= len(self.ids))
@@ -169,7 +170,7 @@ def term_counts(docs: DataFrame, text: str, items: TestItems) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE_BYTES):
             ids, _ = term_ids(vocab, [alnum_words(x) for x in texts(batch.column(0))])
             total += np.bincount(ids[ids >= 0], minlength=size)
         hit = np.flatnonzero(total)
@@ -206,7 +207,7 @@ def find(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
         @F.arrow_udf(kind)
         def match(column: pa.Array, before: pa.Array) -> pa.Array:
             rows, at = [], 0
-            for part in slices([pa.RecordBatch.from_arrays([column], names=["t"])], "t"):
+            for part in slices([pa.RecordBatch.from_arrays([column], names=["t"])], "t", _SLICE_BYTES):
                 for (n_words, spans, found), old in zip(scan(texts(part.column(0)), sent.value, slop), before.slice(at, part.num_rows).to_pylist(), strict=True):
                     known = old or {"spans": [], "items": []}
                     rows.append({"n_words": n_words, "spans": united([*spans, *((x["start"], x["end"]) for x in known["spans"])]), "items": sorted({*map(str, found), *known["items"]})})

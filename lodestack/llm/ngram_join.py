@@ -75,20 +75,21 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
         for batch in slices(batches, "text", _SLICE_BYTES):
             ids = batch.column(0).to_numpy().astype(np.int64)
             sets = [shingles(space_words(t), size, hashes) for t in texts(batch.column(1))]
-            n = np.array([len(s) for s in sets], np.int64)
-            tokens = np.concatenate(sets) >> np.uint64(64 - bits) if len(sets) else np.zeros(0, np.uint64)
-            rows = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
+            n, sid = np.array([len(s) for s in sets], np.int64), [set_id(s) for s in sets]
+            tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+            del sets  # arrays of the size of the slice go as soon as they are spent: the workers keep what they have taken
+            tokens >>= np.uint64(64 - bits)
             order = np.argsort(tokens, kind="stable")
-            tokens, rows = tokens[order], rows[order]
+            tokens, rows = tokens[order], np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
+            del order
             key, blob = [], []
             home = _home(ids, buckets)
             if len(tokens):  # tokens that several rows of this slice hold are counted here and sent once, for no row
-                new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-                start = np.flatnonzero(new)
-                many = (np.minimum.reduceat(rows, start) != np.maximum.reduceat(rows, start))[np.cumsum(new) - 1]
-                here = np.bincount(rows[many], minlength=len(sets)).astype(np.uint32)
+                many, new = _met(tokens, rows)
+                here = np.bincount(rows[many], minlength=len(n)).astype(np.uint32)
+                rows[many] = len(n)
                 keep = ~many | new
-                tokens, rows = tokens[keep], np.where(many, len(sets), rows)[keep]
+                tokens, rows = tokens[keep], rows[keep]
                 for b in np.unique(home[here > 0]):
                     m = np.flatnonzero((home == b) & (here > 0))
                     m = m[np.argsort(ids[m], kind="stable")]
@@ -99,18 +100,29 @@ def _deal(size: int, ranges: int, buckets: int, bits: int) -> Callable[[Iterator
                 a, b = at[r], at[r + 1]
                 if a < b:
                     own, where = np.unique(rows[a:b], return_inverse=True)
-                    own = own[own < len(sets)]  # the last number, if it is behind them, is of no row
+                    own = own[own < len(n)]  # the last number, if it is behind them, is of no row
                     key.append(r)
                     blob.append(press(np.diff(tokens[a:b], prepend=np.uint64(0)), where.astype(np.uint32), np.diff(ids[own], prepend=np.int64(0))))
             for b in np.unique(home):
                 m = np.flatnonzero(home == b)
                 key.append(ranges + int(b))
-                blob.append(pack(ids[m], n[m], np.frombuffer(b"".join(set_id(sets[i]) for i in m), np.uint8)))
+                blob.append(pack(ids[m], n[m], np.frombuffer(b"".join(sid[i] for i in m), np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(blob, pa.binary())], names=["key", "blob"])
 
     return deal
 
 
+def _met(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted tokens, one at least: whether a token stands in several rows, and whether it is the first of its kind."""
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    start = np.flatnonzero(new)
+    other = np.zeros(len(tokens), bool)
+    other[1:] = rows[1:] != rows[:-1]
+    other &= ~new
+    return np.repeat(np.logical_or.reduceat(other, start), np.diff(start, append=len(tokens))), new
+
+
 def _edges(sorted_tokens: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     limits = np.array([-(-(r << bits) // ranges) for r in range(1, ranges)], np.uint64)
     return np.concatenate([[0], np.searchsorted(sorted_tokens, limits), [len(sorted_tokens)]]).astype(np.int64)
@@ -135,21 +147,19 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
             k = pa.array([home] * part.num_rows, pa.int64())
             return pa.table({"home": k, "sizes": pa.array([sizes] * part.num_rows, pa.bool_()), "blob": part.column("blob").combine_chunks()})
         tokens, rows, ids, real, base = [], [], [], [], 0
-        for blob in part.column("blob").to_pylist():
-            t, r, i = _small(blob)
+        for blob in part.column("blob"):
+            t, r, i = _small(blob.as_py())
             tokens.append(t)
-            rows.append(r.astype(np.int64) + base)
+            rows.append(r.astype(np.int64 if base + len(i) >= 1 << 31 else np.int32) + base)
             ids += [i, np.zeros(1, np.int64)]  # one more for the tokens of no row
             real += [np.ones(len(i), bool), np.zeros(1, bool)]
             base += len(i) + 1
-        t, r, i = np.concatenate(tokens), np.concatenate(rows), np.concatenate(ids)
+        t, r, i, known = np.concatenate(tokens), np.concatenate(rows), np.concatenate(ids), np.concatenate(real)
+        del tokens, rows, ids, real
         order = np.argsort(t, kind="stable")
         t, r = t[order], r[order]
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        start = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(r, start), np.maximum.reduceat(r, start)
-        often = (low != high)[np.cumsum(new) - 1]
-        known = np.concatenate(real)
+        del order
+        often = _met(t, r)[0]
         count = np.bincount(r[often], minlength=base)[known]
         doc, where = np.unique(i[known], return_inverse=True)
         total = np.bincount(where, weights=count).astype(np.int64)
