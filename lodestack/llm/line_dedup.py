@@ -8,10 +8,10 @@ alike: the Jaccard similarity of their token sets reaches the threshold. Lines w
 2. Written down for each line: a name (128 bits of hash of its words), the size of its token set, and the
    prefix n - ceil(t*n) + 1 of its tokens in that order. Lines of equal words are one line from here on, counted by their first place.
 3. The written tokens are counted, before the shuffle and after it; tokens that stand in one line only go at once.
-4. Lines that share a prefix token are paired under the length filter, the positional filter and a filter by 128 bits of parity of their whole token
+4. Lines that share a prefix token are paired under the length filter, the positional filter and a filter by 64 bits of parity of their whole token
    sets (a bit in which two lines differ stands for a token that one of them lacks, so it loses no pair): first each with a few, of
-   the earliest lines of its tokens those it has most tokens in common with; then those still without an earlier match with all earlier lines of
-   their tokens. So a family of copies takes linear work.
+   the earliest lines of its frequent tokens (in more than FEW lines) those it has most tokens in common with; then those still without an earlier
+   match with all earlier lines of all their tokens. So a family of copies takes linear work, and tokens of a few lines are joined once.
 5. Jaccard is verified on the lines' whole token sets, which only the lines of pairs that are left get built from the texts again.
 
 Texts become tokens (1, 2 and 5) in one of two ways with the same results: in DataFrame functions (``arrow=False``, the default), or in Arrow
@@ -44,7 +44,9 @@ BROADCAST, BROADCAST_ROWS = 2_000_000, 400_000
 HOT = 4096
 #: Heads that a line is compared with before it meets all lines of its tokens.
 HEADS = 3
-NAME, BITS = ["l1", "l2"], ["b1", "b2"]
+#: Tokens of no more lines than these meet all lines at once: the pairs of so few are few.
+FEW = 4
+NAME, BITS = ["l1", "l2"], ["b1"]
 
 
 def _words(line: Column) -> Column:
@@ -74,16 +76,17 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1
 
 
-def _parity(tokens: Column, k: int) -> Column:
-    """The k-th 64 of 128 bits: a token counts in one of them, by its last seven bits, and it says whether an odd number does."""
-    bits = F.array(*[F.lit((1 << b if b < 63 else -(1 << 63)) if 0 <= b < 64 else 0).cast("long") for b in range(-64 * k, 128 - 64 * k)])  # folded to one literal
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, s: seen.bitwiseXOR(F.get(bits, s.bitwiseAND(127).cast("int"))))
+def _parity(tokens: Column) -> Column:
+    """64 bits: a token counts in one of them, by its last six bits, and it says whether an odd number does."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseXOR(bit(t)))
 
 
 def _rarity(docs: DataFrame, size: int) -> bytes:
     """For each slot of the sketch the rarity class, 2 per doubling of its count over all tokens, from 1 to 127: a string of SLOTS
-    bytes, whatever the input."""
-    words = _hashed(docs.select(F.explode(F.split("text", "\n", -1)).alias("line")))
+    bytes, whatever the input. Texts are counted without a split into lines: shingles across line ends count too, which shifts the order of
+    tokens a little, the same for all lines, and no result."""
+    words = _hashed(docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("line")))
     at = words.select("h", F.explode_outer(F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size))).alias("i"))  # outer: else each line is split twice for a filter
     tokens = at.select("i", _shingle(F.col("h"), F.col("i"), size).alias("s")).where("i is not null")
     counts = tokens.groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
@@ -112,18 +115,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th (hash of the text), pos, l1 and l2 (the name), n (tokens; of a line of fewer words minus its number of words), b1 and b2
+    """doc_id, th (hash of the text), pos, l1 and l2 (the name), n (tokens; of a line of fewer words minus its number of words), b1
     (parity bits of all tokens), s (prefix tokens) of every line."""
-    classes = F.split(F.lit(",".join(str(c << 56) for c in _rarity(docs, size))), ",").cast("array<bigint>")  # folded to one literal
+    classes = F.split(F.lit(",".join(map(str, _rarity(docs, size)))), ",").cast("array<bigint>")  # folded to one literal, of small numbers as each text of the plan holds it
 
     def token(s: Column) -> Column:
-        return F.coalesce(F.get(classes, s.bitwiseAND(SLOTS - 1).cast("int")), F.lit(1 << 56)).bitwiseOR(s.bitwiseAND((1 << 56) - 1))
+        return F.shiftleft(F.coalesce(F.get(classes, s.bitwiseAND(SLOTS - 1).cast("int")), F.lit(1).cast("long")), 56).bitwiseOR(s.bitwiseAND((1 << 56) - 1))
 
     rows = _numbered(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     sets = _hashed(rows).select("doc_id", "th", "pos", "h", F.sort_array(F.array_distinct(F.transform(_shingles(size), token))).alias("s"))
     n = F.coalesce(F.size("s"), F.lit(-1))
     named = sets.select("doc_id", "th", "pos", F.xxhash64("h").alias("l1"), F.xxhash64(F.lit(1), "h").alias("l2"), F.when(n > 0, n).otherwise(-F.size("h")).alias("n"), "s")
-    bits = [F.coalesce(_parity(F.col("s"), k), F.lit(0).cast("long")).alias(b) for k, b in enumerate(BITS)]
+    bits = [F.coalesce(_parity(F.col("s")), F.lit(0).cast("long")).alias(b) for b in BITS]
     return named.select("doc_id", "th", "pos", *NAME, "n", *bits, F.when(F.col("n") > 0, F.slice("s", 1, _prefix(F.col("n"), percent))).alias("s"))
 
 
@@ -253,9 +256,9 @@ def _arrow_lines(docs: DataFrame, size: int, percent: int) -> DataFrame:
             s, at = _distinct(s, at, sent.value)
             n = np.bincount(at, minlength=total)
             bits, some = [np.zeros(total, np.uint64) for _ in BITS], np.flatnonzero(n)
-            for k, b in enumerate(bits):
+            for b in bits:
                 if len(some):
-                    b[some] = np.bitwise_xor.reduceat((((s >> np.uint64(6)) & np.uint64(1)) == np.uint64(k)).astype(np.uint64) << (s & np.uint64(63)), (np.cumsum(n) - n)[some])
+                    b[some] = np.bitwise_xor.reduceat(np.uint64(1) << (s & np.uint64(63)), (np.cumsum(n) - n)[some])
             p = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             s = s[np.arange(len(s)) - (np.cumsum(n) - n)[at] < p[at]]
             which = np.repeat(np.arange(len(lines)), lines)
@@ -267,7 +270,7 @@ def _arrow_lines(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 names=["doc_id", "th", "pos", *NAME, "n", *BITS, "s"],
             )
 
-    return _lowered(docs).mapInArrow(deal, "doc_id long, th long, pos int, l1 long, l2 long, n int, b1 long, b2 long, s array<long>")
+    return _lowered(docs).mapInArrow(deal, "doc_id long, th long, pos int, l1 long, l2 long, n int, b1 long, s array<long>")
 
 
 def _token_sets(lines: DataFrame, size: int, arrow: bool) -> DataFrame:
@@ -306,8 +309,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, docs: DataFrame, posts: DataFrame, size: int, percent: int, arrow: bool) -> DataFrame:
     """The lines (l1, l2) of those pairs whose Jaccard similarity reaches the threshold."""
-    names = pairs.select(*NAME).union(pairs.select("m1", "m2")).distinct()
-    first = posts.select("doc_id", "th", "pos", *NAME).distinct().join(names, NAME, "left_semi")
+    names = cut(pairs.select(*NAME).union(pairs.select("m1", "m2")).distinct(), "names")
+    first = posts.select("doc_id", "th", "pos", *NAME).join(_few(names), NAME, "left_semi").distinct()
     where = cut(first.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", *NAME)).alias("found")), "found")  # at most a text's lines
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     met = rows.join(_few(where), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")))
@@ -317,17 +320,19 @@ def _alike(pairs: DataFrame, docs: DataFrame, posts: DataFrame, size: int, perce
     both = pairs.join(tokens, NAME).join(other, ["m1", "m2"])
     same = F.size(F.array_intersect("tokens", "other"))
     out = cut(both.where(same * (100 + percent) >= (F.size("tokens") + F.size("other")) * percent).select(*NAME).distinct(), "alike")
-    spent(where, tokens)
+    spent(names, where, tokens)
     return out
 
 
-def _posts(single: DataFrame) -> DataFrame:
-    """Of each line those of its prefix tokens that another line has written too: t, and r, its place in the order."""
-    counts = cut(single.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "counts")
+def _posts(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each line those of its prefix tokens that another line has written too: t, and r, its place in the order. Then the tokens that
+    more than FEW lines have written."""
+    counts = cut(single.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     rows = single.select("doc_id", "th", "pos", *NAME, "n", *BITS, F.posexplode("s").alias("r", "t"))
-    out = cut(rows.join(_few(counts, BROADCAST), "t", "left_semi"), "posts")
+    out = cut(rows.join(_few(counts.select("t"), BROADCAST), "t", "left_semi"), "posts")
+    frequent = cut(counts.where(F.col("c") > FEW).select("t"), "frequent")
     spent(counts)
-    return out
+    return out, frequent
 
 
 def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, short: bool = True, arrow: bool = False) -> DataFrame:
@@ -339,18 +344,19 @@ def late_lines(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, sho
     first = _few(repeated.select(*NAME, "first"))
     single = lines.where("n > 0").join(first, NAME, "left").where("first is null or place = first").drop("first")
 
-    posts = _posts(single)
+    posts, frequent = _posts(single)
     posted = posts.select(_place().alias("place"), *NAME, "n", *BITS, "t", "r")
-    heads = posted.groupBy("t").agg(F.min(F.struct("place", *NAME, "n", *BITS, "r")).alias("x")).select("t", "x.*")
+    often = posted.join(_few(frequent), "t", "left_semi")
+    heads = often.groupBy("t").agg(F.min(F.struct("place", *NAME, "n", *BITS, "r")).alias("x")).select("t", "x.*")
     best = Window.partitionBy(*NAME).orderBy(F.col("common").desc(), "m1", "m2")
-    nearest = cut(_pairs(posted, heads, percent).withColumn("k", F.row_number().over(best)).where(F.col("k") <= HEADS).select(*NAME, "m1", "m2"), "nearest")
+    nearest = cut(_pairs(often, heads, percent).withColumn("k", F.row_number().over(best)).where(F.col("k") <= HEADS).select(*NAME, "m1", "m2"), "nearest")
     one = _alike(nearest, docs, posts, size, percent, arrow)
-    others = cut(_pairs(posted.join(one, NAME, "left_anti"), posted, percent).select(*NAME, "m1", "m2"), "others")
+    others = cut(_pairs(posted.join(_few(one), NAME, "left_anti"), posted, percent).select(*NAME, "m1", "m2"), "others")
     two = _alike(others, docs, posts, size, percent, arrow)
 
     gone = one.union(two).withColumn("gone", F.lit(True))
     verdict = cut(repeated.join(gone, NAME, "full").select(*NAME, "first", "copies", F.coalesce("gone", F.lit(False)).alias("gone")), "verdict")
-    spent(posts, nearest, others, repeated, one, two)
+    spent(posts, frequent, nearest, others, repeated, one, two)
     return _occurrences(lines.select("doc_id", "th", "pos", "place", *NAME), verdict)
 
 
@@ -374,7 +380,7 @@ def _by_document(late: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, **more: int) -> DataFrame:
     """doc_id, n_lines long, n_removed long, removed string (line numbers from 0, comma-joined) of each document."""
     late = _by_document(late_lines(docs, **more))
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(breaks, F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(late, F.col("doc_id").eqNullSafe(F.col("late_id")) & (F.col("th") == F.col("late_th")), "left")
     gone = F.coalesce(F.col("late"), F.expr("cast(array() as array<int>)"))

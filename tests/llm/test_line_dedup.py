@@ -117,3 +117,15 @@ def test_filters_lose_no_pair_at_the_threshold(spark):
     for arrow in (False, True):
         got = ld.digest(spark.createDataFrame(docs, "doc_id long, text string"), arrow=arrow)
         assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_rare_tokens_are_joined_once(docs_of, monkeypatch):
+    """Tokens of few lines don't go through the first round, and where the bound lies changes no result."""
+    asked, pairs = [], ld._pairs
+    monkeypatch.setattr(ld, "_pairs", lambda left, right, percent: asked.append(left.count()) or pairs(left, right, percent))
+    two = [(1, "one two three four five six seven eight nine ten eleven"), (2, "one two three four five six seven eight nine ten eleven twelve")]
+    assert [r.n_removed for r in ld.digest(docs_of(two)).orderBy("doc_id").collect()] == [0, 1]
+    assert asked[0] == 0 < asked[1]
+    for few in (1, 100):
+        monkeypatch.setattr(ld, "FEW", few)
+        assert sorted((tuple(x) for x in ld.digest(docs_of(phrased())).collect()), key=str) == brute(phrased())
