@@ -19,12 +19,15 @@ from lodestack.llm.common import cut, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Bytes of an Arrow batch between an executor and its Python workers. The default of 10,000 rows is some 30 MB of whole texts, which both sides hold several times.
 BATCH_BYTES = 8 << 20
+#: Characters of a plan's text. The driver holds one for each of the last thousand jobs, and makes it anew each time a shuffle has ended.
+PLAN_CHARS = 20_000
 
 
 def _in_batches(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
         return stage(spark, docs, sf_dir)
 
     return run_stage

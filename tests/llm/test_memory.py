@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestack.llm import decontam as d
+from lodestack.llm import line_dedup as ld
 from lodestack.llm import ngram_join as nj
 
 
@@ -50,3 +51,16 @@ def test_met_tokens_against_plain_loop():
         rows = {x: {int(b) for a, b in zip(t, r) if a == x} for x in set(t.tolist())}
         assert many.tolist() == [len(rows[x]) > 1 for x in t.tolist()]
         assert new.tolist() == [i == 0 or t[i] != t[i - 1] for i in range(size)]
+
+
+def test_plans_the_driver_keeps_are_short(spark):
+    """The rarity sketch stands in the plan of the lines as small numbers, and a stage's plans are kept as bounded texts."""
+    docs = spark.createDataFrame([(1, "a b c d e f\na b c d e f")], "doc_id long, text string")
+    assert len(ld.lines_of(docs)._jdf.queryExecution().optimizedPlan().toString()) < 1 << 20
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    try:
+        plan = corpus_pipeline.lines(spark, docs, "")
+        assert int(spark.conf.get("spark.sql.maxPlanStringLength")) <= 100_000
+        assert plan.count() == 1
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
