@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -32,7 +33,7 @@ def space_words(text: bytes | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered up to a bound that keeps a worker's memory flat."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -56,18 +57,30 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def give_back() -> None:
+    """What freed arrays held goes back to the system. A Python worker keeps it else, while it waits for its next task beside the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most about ``most`` bytes of text (a longer text stays whole)."""
+    """The batches cut so that each holds at most about ``most`` bytes of text (a longer text stays whole); memory is given back after each."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))  # bytes, without a copy of the texts
         start, held = 0, 0
         for i, n in enumerate(x or 0 for x in sizes.to_pylist()):
             if held and held + n > most:
                 yield batch.slice(start, i - start)
+                give_back()
                 start, held = i, 0
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+            give_back()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, mix64, pack, press, slices, space_words, spent, texts, unpack, unpress
+from .common import WordHash, cut, give_back, mix64, pack, press, slices, space_words, spent, texts, unpack, unpress
 from .graph import components
 
 SHINGLE, PERCENT, CAP, GROUP = 5, 80, 2000, 16
 SKETCH_BITS = 20
 _RANGE_BYTES = 16 << 20
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 #: Sets that may link, as far as their documents' ids are sent to the texts; beyond it the texts are shuffled to them.
 SENT = 2_000_000
 
@@ -146,6 +146,7 @@ def _shared(ranges: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
             home, sizes = (key[0].as_py() - ranges) % buckets, key[0].as_py() < ranges + buckets
             k = pa.array([home] * part.num_rows, pa.int64())
             return pa.table({"home": k, "sizes": pa.array([sizes] * part.num_rows, pa.bool_()), "blob": part.column("blob").combine_chunks()})
+        give_back()  # what the range before held
         tokens, rows, ids, real, base = [], [], [], [], 0
         for blob in part.column("blob"):
             t, r, i = _small(blob.as_py())

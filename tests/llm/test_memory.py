@@ -64,3 +64,20 @@ def test_plans_the_driver_keeps_are_short(spark):
         assert plan.count() == 1
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", before)
+
+
+def test_dealing_texts_holds_few_arrays_and_gives_memory_back(monkeypatch):
+    """A worker of the n-gram join takes 4 MB of text at a time, remembers 200,000 words and frees what a slice has held."""
+    from lodestack.llm import common
+
+    rng, freed = np.random.default_rng(3), []
+    monkeypatch.setattr(common, "_trim", freed.append)
+    words = [f"w{x}" for x in range(50_000)]
+    texts = [" ".join(words[x] for x in rng.integers(0, len(words), 9000)) for _ in range(190)]  # some 10 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out, mb = peak(lambda: sum(x.num_rows for x in nj._deal(5, 4, 4, 45)(iter([batch]))))
+    assert out > 0 and len(freed) >= 3
+    assert mb < 65
+    hashes = common.WordHash()
+    hashes.of([b"%d" % x for x in range(300_000)])
+    assert len(hashes) <= 200_000
