@@ -126,7 +126,8 @@ class Best:
 def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", query_key: str = "query_id", digits: int = 6, most: int = 10_000) -> DataFrame:
     """Cosine top k of many query vectors: each task scores its rows in matrix products, batch by batch, and sends its k best of each query.
 
-    Vectors that are null, hold null or non-finite components or are all zero take no part, as rows or as queries. The queries are broadcast; more than ``most`` run in several rounds."""
+    Vectors that are null, hold null or non-finite components or are all zero take no part, as rows or as queries. The queries are broadcast; more than ``most`` run in several rounds.
+    Of many rounds each reads its rows in few tasks, as every task sends k rows of each query."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     vectors, queries = vectors.where(usable(vector)), queries.where(usable(vector))
@@ -134,6 +135,8 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
     rounds = max(1, -(-total // most))
     types = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
     schema = pa.schema([(query_key, to_arrow_type(types[query_key])), (key, to_arrow_type(types[key])), ("score", pa.float64())])
+    near = vectors.select(key, vector)
+    near = near if rounds == 1 else near.coalesce(max(2, -(-sc.defaultParallelism // rounds)))  # a union of single partitions would be one task
     out = None
     for r in range(rounds):
         part = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(rounds)) == r)
@@ -148,7 +151,7 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
                     held.products(range(len(names)), q, b.column(0).to_numpy(zero_copy_only=False), unit(matrix(b.column(1))), digits)
             yield held.batch(names, schema)
 
-        found = vectors.select(key, vector).mapInArrow(best, f"{query_key} {types[query_key].simpleString()}, {key} {types[key].simpleString()}, score double")
+        found = near.mapInArrow(best, f"{query_key} {types[query_key].simpleString()}, {key} {types[key].simpleString()}, score double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

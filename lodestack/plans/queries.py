@@ -131,14 +131,14 @@ def like_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS l FROM embeddings WHERE vec_id % 25 = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS l FROM embeddings),
 s AS (SELECT query_id, l, label, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10),
 h AS (SELECT query_id, min(CASE WHEN l = label THEN rank END) AS rank FROM r GROUP BY query_id)
 SELECT count(*) AS queries, round(avg((coalesce(rank, 0) = 1)::INT), 6) AS recall_1, round(avg((rank IS NOT NULL AND rank <= 5)::INT), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM h""")
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    q = v.where("id % 25 = 0").select(F.col("id").alias("query_id"), "vector")
+    q = v.select(F.col("id").alias("query_id"), "vector")
     found = retrieval.dense_batch(v, q, 11).where("id <> query_id")  # each query finds itself as well
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     top = found.withColumn("rank", rank).where("rank <= 10").join(v.select("id", "label"), "id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("want")), "query_id")
