@@ -9,7 +9,8 @@ form a segment, and equal strings lie in segments of equal minimizer whatever su
 1. Minimizers are dealt out by hash range as compressed arrays; a segment whose minimizer stands in one document only is dropped. What is
    frequent within a slice of documents is settled there and sent once.
 2. The other segments are dealt out with their bytes. Equal segments of a slice are sent once, for their least document.
-3. In each range the distinct segments are put in a Burrows-Wheeler transform. Intervals are expanded breadth first by backward
+3. In each range the distinct segments' strings of which an equal hash stands elsewhere in the range are put in a Burrows-Wheeler
+   transform; all others stand in one segment. Intervals are expanded breadth first by backward
    extension, which yields the common prefix lengths in increasing order; it stops at ``length``, and places still without one
    share at least that much with their neighbour. The least document of each such interval decides its strings.
 4. Each document unites its removed runs.
@@ -317,24 +318,52 @@ def common_starts(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, edge[:n]
 
 
+def repeated(t: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of ``length`` bytes that begin where ``valid`` holds, in order: whether an equal hash begins another of them."""
+    out = np.zeros(len(valid), bool)
+    at = np.flatnonzero(valid)
+    if len(at) < 2:
+        return out
+    h = gram_hashes(t, length)[at]
+    s = np.sort(h)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if len(twice):
+        out[at] = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    return out
+
+
 def least_owner(segs: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each start of a string of ``length`` in each segment the least owner of a segment that holds it."""
+    """For each start of a string of ``length`` in each segment the least owner of a segment that holds it.
+
+    A string whose hash stands in one place only has its own segment's owner. The transform is built of the rest, run by run: equal
+    strings have equal hashes, so all places of each are in it."""
     sizes = np.fromiter(map(len, segs), np.int64, len(segs))
-    t = np.zeros(int(sizes.sum()) + len(segs), np.int16)
-    begin = np.cumsum(sizes + 1) - (sizes + 1)
-    inside = np.ones(len(t), bool)
-    inside[begin + sizes] = False
-    t[inside] = np.frombuffer(b"".join(segs), np.uint8).astype(np.int16) + 1
-    order, edge = common_starts(t, length)
-    of = np.repeat(np.arange(len(segs)), sizes + 1)
-    valid = (np.arange(len(t)) - begin[of] + length <= sizes[of])[order]
-    group = np.cumsum(edge)[valid]
-    at = order[valid]
-    new = np.concatenate([[True], group[1:] != group[:-1]])
-    least = np.minimum.reduceat(owner[of[at]], np.flatnonzero(new))
-    out = np.zeros(len(t), np.int64)
-    out[at] = least[np.cumsum(new) - 1]
-    return [out[b : b + s - length + 1] for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    whole = np.frombuffer(b"".join(segs), np.uint8)
+    end = np.cumsum(sizes)
+    first = end - sizes
+    of = np.repeat(np.arange(len(segs)), sizes)
+    out = owner[of]
+    some = repeated(whole, np.arange(len(whole)) + length <= end[of], length)
+    edge_at = np.flatnonzero(some[1:] != some[:-1]) + 1
+    bounds = np.concatenate([[0], edge_at, [len(some)]])
+    lo, hi = bounds[:-1][some[bounds[:-1]]] if len(some) else bounds[:0], bounds[1:][some[bounds[:-1]]] if len(some) else bounds[:0]
+    if len(lo):
+        runs = hi - lo + length - 1  # bytes of each run's strings; a run ends before the last length - 1 bytes of its segment
+        begin = np.cumsum(runs + 1) - (runs + 1)
+        run = np.repeat(np.arange(len(runs)), runs + 1)
+        within = np.arange(len(run)) - begin[run]
+        inside = within < runs[run]
+        t = np.zeros(len(run), np.int16)
+        t[inside] = whole[(lo[run] + within)[inside]].astype(np.int16) + 1
+        order, edge = common_starts(t, length)
+        valid = (within + length <= runs[run])[order]
+        group = np.cumsum(edge)[valid]
+        at = order[valid]
+        place = lo[run[at]] + within[at]
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        least = np.minimum.reduceat(owner[of[place]], np.flatnonzero(new))
+        out[place] = least[np.cumsum(new) - 1]
+    return [out[b : b + s - length + 1] for b, s in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
 def _runs(number: dict[bytes, int], seg: np.ndarray, ids: np.ndarray, twin: np.ndarray, lo: np.ndarray, length: int, buckets: int) -> tuple[list[int], list[bytes]]:
