@@ -8,13 +8,13 @@ groups of documents by the group's token union and opens only the groups that ca
   shortened hashes, and each range finds which tokens stand in two rows at least. A document of whose tokens fewer than
   threshold * n also stand elsewhere cannot link with anything. Shortened hashes only add to the overlap, so
   the bound stays safe;
-* what remains is collapsed to distinct sets, ordered by token rarity (a sketch of fixed size) and tied together by its prefix
+* what remains is collapsed to distinct sets, ordered by token rarity (a sketch that grows with the tokens, up to 64 MB) and tied together by its prefix
   tokens into clusters outside of which no partner can be. Within a cluster similar sets are put in groups of a few
   sets each; a token-group matrix stores each group's token union, and only groups whose overlap reaches the bound are
   opened and verified by exact Jaccard.
 
 A cluster of more than ``cap`` sets is split into blocks that each meet the cluster's most connected sets; only sets
-that did not join the cluster's main component visit the other blocks. So one large family of near copies takes linear
+that did not join the cluster's main component visit other blocks, those with which they share a prefix token. So one large family of near copies takes linear
 work, in many tasks, and no link between different sets is lost.
 
 Null, empty and blank texts have no tokens and link with nothing. Rows with a null id take no part in links and have a null
@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .common import WordHash, cut, give_back, mix64, pack, press, slices, space_
 from .graph import components
 
 SHINGLE, PERCENT, CAP, GROUP = 5, 80, 2000, 16
-SKETCH_BITS = 20
+SKETCH_BITS = 20, 26  # of the rarity sketch, at least and at most
 _RANGE_BYTES = 16 << 20
 _SLICE_BYTES = 4 << 20
 #: Sets that may link, as far as their documents' ids are sent to the texts; beyond it the texts are shuffled to them.
@@ -215,25 +216,63 @@ def sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
 # --- level 2: clusters, blocks and the token-group matrix ------------------------------------------------------------
 
 
-def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """Counts of tokens by their low bits, over all sets: 2**bits numbers, summed in the executors."""
-    slots, pieces = 1 << bits, 16
+def sketch_bits(n_tokens: int) -> int:
+    """So many that about two tokens or fewer fall on a slot: in a fuller sketch rare tokens look like frequent ones, and prefixes of these tie
+    sets that have little in common. The most is 64 MB."""
+    least, most = SKETCH_BITS
+    return min(most, max(least, (n_tokens // 2).bit_length()))
+
+
+def _rank(count: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact below 128, then eight steps each time they double."""
+    return np.where(count < 128, count, 128 + np.minimum(127, np.floor(8 * np.log2(np.maximum(count, 128) / 128)))).astype(np.uint8)
+
+
+def _sketch(sets: DataFrame, bits: int, most: int = 1 << 20) -> np.ndarray:
+    """Ranks of the counts of tokens by their low bits, over all sets: 2**bits bytes, summed in the executors. A task sends the slots that it
+    has counted whenever it has taken ``most`` tokens."""
+    slots, pieces = 1 << bits, 64
+    width = slots // pieces
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        slot, n = np.unique(np.concatenate(held), return_counts=True)
+        at = np.searchsorted(slot, np.arange(pieces + 1) * width)
+        some = np.flatnonzero(np.diff(at))
+        blobs = [press(np.diff(slot[at[p] : at[p + 1]], prepend=np.uint32(p * width)), n[at[p] : at[p + 1]].astype(np.uint32)) for p in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["piece", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        held, taken = [], 0
         for b in batches:
             for blob in b.column(0).to_pylist():
-                slot, n = np.unique(np.frombuffer(blob, np.uint64) & np.uint64(slots - 1), return_counts=True)
-                total[slot.astype(np.int64)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int64()), pa.array([pack(x) for x in total.reshape(pieces, -1)], pa.binary())], names=["piece", "blob"])
+                held.append((np.frombuffer(blob, np.uint64) & np.uint64(slots - 1)).astype(np.uint32))
+                taken += len(held[-1])
+                if taken >= most:
+                    yield counted(held)
+                    held, taken = [], 0
+        if taken:
+            yield counted(held)
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
-        total = sum(unpack(b, np.int64)[0] for b in part.column("blob").to_pylist())
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([pack(total)], pa.binary())})
+        total = np.zeros(width, np.int64)
+        for blob in part.column("blob"):
+            slot, n = unpress(blob.as_py(), np.uint32, np.uint32)
+            total[np.cumsum(slot, dtype=np.int64)] += n
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([pack(_rank(total))], pa.binary())})
 
     kind = "piece long, blob binary"
-    got = {r["piece"]: unpack(r["blob"], np.int64)[0] for r in sets.select("tokens").mapInArrow(count, kind).groupBy("piece").applyInArrow(add, kind).collect()}
-    return np.concatenate([got[i] for i in range(pieces)]) if got else np.zeros(slots, np.int64)
+    out = np.zeros(slots, np.uint8)
+    for r in sets.select("tokens").mapInArrow(count, kind).groupBy("piece").applyInArrow(add, kind).toLocalIterator():
+        out[r["piece"] * width : (r["piece"] + 1) * width] = unpack(r["blob"], np.uint8)[0]
+    return out
+
+
+def _keys(t: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set's prefix tokens, of which it shares one at least with each partner."""
+    n, grid = len(t), np.log(100.0 / percent) if percent < 100 else 0.0
+    p = t[np.lexsort((t, rare[(t & np.uint64(len(rare) - 1)).astype(np.int64)]))][: n - bound(n, percent) + 1]
+    size = np.uint64(int(np.log(n) / grid + 1e-9) if grid else n)  # sizes of partners are in the same class or the next
+    return np.concatenate([mix64(p ^ mix64(np.full(1, s, np.uint64))) for s in (size, size + np.uint64(1))])
 
 
 def _ties(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,25 +285,17 @@ def _ties(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return e[e[:, 0] != e[:, 1]], keys[new], at[new]
 
 
-def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int, ranges: int) -> DataFrame:
+def _prefixes(sets: DataFrame, sent: Broadcast, percent: int, ranges: int) -> DataFrame:
     """Edges (a, b) between sets that share a prefix token and can reach the threshold by their sizes; equal keys are tied
     within each slice first, so that a frequent token sends one row per slice."""
-    sent = sets.sparkSession.sparkContext.broadcast(rarity)  # 2**SKETCH_BITS numbers
-    mask = np.uint64(len(rarity) - 1)
-    grid = np.log(100.0 / percent) if percent < 100 else 0.0
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sent.value
         for b in batches:
             sid, keys, at = b.column(0).to_pylist(), [], []
             for i, blob in enumerate(b.column(1).to_pylist()):
-                t = np.frombuffer(blob, np.uint64)
-                n = len(t)
-                p = t[np.lexsort((t, rare[(t & mask).astype(np.int64)]))][: n - bound(n, percent) + 1]
-                size = np.uint64(int(np.log(n) / grid + 1e-9) if grid else n)  # sizes of partners are in the same class or the next
-                for s in (size, size + np.uint64(1)):
-                    keys.append(mix64(p ^ mix64(np.full(1, s, np.uint64))))
-                    at.append(np.full(len(p), i, np.int64))
+                keys.append(_keys(np.frombuffer(blob, np.uint64), rare, percent))
+                at.append(np.full(len(keys[-1]), i, np.int64))
             if not keys:
                 continue
             e, k, first = _ties(np.concatenate(keys), np.concatenate(at))
@@ -393,6 +424,22 @@ def _everywhere(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).withColumn("home", F.xxhash64("cluster", "block")).drop("block")
 
 
+def _visits(members: DataFrame, sent: Broadcast, percent: int) -> DataFrame:
+    """(sid, home) of each left-over set and each other block that holds a set with one of its prefix keys. ``members`` are the sets of large
+    clusters: sid, tokens, home, left_over. A set has no partner in any other block."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = sent.value
+        for b in slices(batches, "tokens", 1 << 20):
+            keys = [np.unique(_keys(np.frombuffer(t, np.uint64), rare, percent)).view(np.int64) for t in b.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[b.column(c).take(at) for c in (0, 2, 3)]], names=["key", "sid", "home", "left_over"])
+
+    rows = members.select("sid", "tokens", "home", "left_over").mapInArrow(keyed, "key long, sid binary, home long, left_over boolean")
+    asked = rows.where("left_over").select("key", "sid", F.col("home").alias("own"))
+    return asked.join(rows.select("key", "home").distinct(), "key").where("home <> own").select("sid", "home").distinct()
+
+
 def _texts_of(docs: DataFrame, reps: DataFrame, sent: int = SENT) -> DataFrame:
     """(text, sid) of the documents that stand for a set. Few of the texts are wanted, so their ids go to the texts, which stay where they are."""
     few = reps.count() <= sent
@@ -416,7 +463,8 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
     sets = cut(_texts_of(docs, reps).mapInArrow(tokens, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
     n_tokens, n_sets = sets.agg(F.sum(F.octet_length("tokens") / 8), F.count("*")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ties = cut(_prefixes(sets, _sketch(sets, SKETCH_BITS), percent, max(parts, int((n_tokens or 0) // 2_000_000))), "ties")
+    rarity = spark.sparkContext.broadcast(_sketch(sets, sketch_bits(int(n_tokens or 0))))
+    ties = cut(_prefixes(sets, rarity, percent, max(parts, int((n_tokens or 0) // 2_000_000))), "ties")
     cluster = cut(components(ties), "clusters")
     count = cluster.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / cap)
@@ -437,11 +485,12 @@ def links(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, cap:
         first = rows.unionByName(_everywhere(rows.join(hubs, "sid", "left_semi")))
     verified = cut(first.select(*columns).groupBy("home").applyInArrow(_verify(percent), kind), "links")
     roots = cut(components(verified), "roots")
-    if any_large:  # sets outside of a large cluster's main component visit all of its blocks
+    if any_large:  # sets outside of a large cluster's main component visit those of its blocks that can hold a partner
         inside = rows.where(~F.col("alone")).select("sid", "cluster", "blocks", "home").join(roots, F.col("sid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "sid"))
         main = inside.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         marked = cut(inside.join(main, "cluster").select("sid", "cluster", "blocks", "home", F.col("root").alias("label"), (F.col("root") != F.col("main")).alias("left_over")), "marked")
-        guests = _everywhere(marked.where("left_over")).select("sid", "cluster", "home", "label", F.lit(True).alias("ask"))
+        visits = _visits(marked.join(sets, "sid"), rarity, percent)
+        guests = marked.where("left_over").drop("home").join(visits, "sid").select("sid", "cluster", "home", "label", F.lit(True).alias("ask"))
         hosts = marked.select("sid", "cluster", "home", "label", F.lit(False).alias("ask"))
         again = guests.unionByName(hosts).join(sets, "sid").select(*columns)
         more = again.groupBy("home").applyInArrow(_verify(percent), kind)
